@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import mixing, sharding
+from tidemark.llm import bpe, mixing, sharding, simhash
 
 #: Domains of the sources, and the weights of domains and languages. Other values weigh OTHER.
 DOMAINS = {"web": [0], "books": [1, 2, 3, 4], "news": [5, 6, 7, 8, 9], "forums": list(range(10, 20))}
@@ -32,6 +33,17 @@ def levels() -> dict:
     return {"domain": domain(), "lang": F.col("lang"), "source": F.col("source")}
 
 
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of 4-word shingles, linked at 4 or fewer differing bits."""
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=4, budget=4, seed=42)
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of the 50k vocabulary and what they decode to, as digests."""
+    return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Law ``rows``: shards of equal counts by proportional stratified interleaving of the sources."""
     text = F.coalesce(F.col("text"), F.lit(""))
@@ -48,7 +60,7 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op8_sharding, op9_mixing)}
+    return {f.__name__: f for f in (op3_simhash, op6_byte_bpe, op8_sharding, op9_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
