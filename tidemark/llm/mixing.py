@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import ranks
 
+#: Parts into which a leaf's rows are dealt to meet the leaf's budget.
+SALTS = 64
+
 #: A word: what stands between ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -92,7 +95,9 @@ def mixed(rows: DataFrame, levels: dict[str, Column], weights: dict[str, dict[st
         F.expr("if(tokens > 0, budget div tokens, 0)").alias("_whole"),
         F.expr("if(tokens > 0, budget % tokens, 0)").alias("_rest"),
     )
-    keyed = slim.join(plan, "_leaf").withColumn("_key", F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("_whole").cast("string"), F.coalesce(F.col("_ident").cast("string"), F.lit(""))).cast("binary")))
+    salt = F.pmod(F.xxhash64("_ident"), F.lit(SALTS)).cast("int")
+    plan = plan.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    keyed = slim.withColumn("_salt", salt).join(plan, ["_leaf", "_salt"]).withColumn("_key", F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("_whole").cast("string"), F.coalesce(F.col("_ident").cast("string"), F.lit(""))).cast("binary")))
     return ranks.ranked(keyed, "_leaf", "_key", ["_ident", *(f"_tie{i}" for i in range(len(ties)))], "tokens").select(
         *(F.col("_row").getField(c).alias(c) for c in own if c not in ("n_tokens", "leaf_tokens", "leaf_budget", "copies")),
         F.col("tokens").alias("n_tokens"),

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, mixing, sharding, simhash
+from tidemark.llm import bpe, langid, mixing, quality, sharding, simhash
 
 #: Domains of the sources, and the weights of domains and languages. Other values weigh OTHER.
 DOMAINS = {"web": [0], "books": [1, 2, 3, 4], "news": [5, 6, 7, 8, 9], "forums": list(range(10, 20))}
@@ -33,6 +33,26 @@ def levels() -> dict:
     return {"domain": domain(), "lang": F.col("lang"), "source": F.col("source")}
 
 
+def fold(n: int):
+    """The remainder of a document's number by n."""
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % n
+
+
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, learned from four folds of five."""
+    docs = table(spark, sf_dir, "documents")
+    found = langid.predict(docs, langid.learn(docs, fold(5) != 0))
+    return found.select("doc_id", (fold(5) == 0).alias("held_out"), "lang_pred", "score", "ambiguous", "runner_up")
+
+
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The quality of every document, learned from the labels of four folds of five."""
+    docs = table(spark, sf_dir, "documents")
+    model = quality.learn(docs, table(spark, sf_dir, "labels"), fold(5) != 0)
+    found = quality.scored(docs.select("doc_id", "text"), model, 0.3)
+    return found.select("doc_id", (fold(5) == 0).alias("held_out"), "score", "predicted", "difference")
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of 4-word shingles, linked at 4 or fewer differing bits."""
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=4, budget=4, seed=42)
@@ -60,7 +80,7 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_simhash, op6_byte_bpe, op8_sharding, op9_mixing)}
+    return {f.__name__: f for f in (op1_language_id, op3_simhash, op4_quality, op6_byte_bpe, op8_sharding, op9_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
