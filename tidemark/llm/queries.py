@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, langid, mixing, quality, sharding, simhash
+from tidemark.llm import bpe, langid, mixing, quality, sharding, simhash, vecdup
 
 #: Domains of the sources, and the weights of domains and languages. Other values weigh OTHER.
 DOMAINS = {"web": [0], "books": [1, 2, 3, 4], "news": [5, 6, 7, 8, 9], "forums": list(range(10, 20))}
@@ -45,6 +45,11 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (fold(5) == 0).alias("held_out"), "lang_pred", "score", "ambiguous", "runner_up")
 
 
+def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors of equal labels, linked at a cosine of 0.93 or more."""
+    return vecdup.near_vectors(table(spark, sf_dir, "embeddings"), 0.93)
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The quality of every document, learned from the labels of four folds of five."""
     docs = table(spark, sf_dir, "documents")
@@ -80,7 +85,7 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op3_simhash, op4_quality, op6_byte_bpe, op8_sharding, op9_mixing)}
+    return {f.__name__: f for f in (op1_language_id, op2_embedding_dedup, op3_simhash, op4_quality, op6_byte_bpe, op8_sharding, op9_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:

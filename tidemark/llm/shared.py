@@ -7,6 +7,8 @@ import os
 import shutil
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 from urllib.parse import urlparse
 
 from pyspark.sql import DataFrame, SparkSession
@@ -55,8 +57,21 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Keeps Arrow batches of whole texts small."""
+def ready_workers(spark: SparkSession) -> None:
+    """Sends this package to the Python workers, once a context, and keeps Arrow batches of whole texts small."""
+    context = spark.sparkContext
+    if getattr(context, "_tidemark_sent", None) is None:
+        top = Path(__file__).resolve().parent.parent
+        with tempfile.TemporaryDirectory() as folder:
+            package = Path(folder, "tidemark_package.zip")
+            with zipfile.ZipFile(package, "w") as out:
+                for path in sorted(top.rglob("*.py")):
+                    out.write(path, path.relative_to(top.parent))
+            uri = f"{new_folder(spark, 'package')}/{package.name}"
+            path = context._jvm.org.apache.hadoop.fs.Path
+            path(uri).getFileSystem(context._jsc.hadoopConfiguration()).copyFromLocalFile(path(f"file://{package}"), path(uri))
+        context.addPyFile(uri)
+        context._tidemark_sent = True
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > BATCH_ROWS:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     try:

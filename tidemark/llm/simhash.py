@@ -146,6 +146,7 @@ def hamming_links(distinct: DataFrame, budget: int, n: int) -> DataFrame:
     ``GROUP`` values; a larger one is cut into chunks by a hash and each pair of chunks is a task. A task returns the links of a spanning
     forest, fewer than its values, whatever the number of close pairs.
     """
+    shared.ready_workers(distinct.sparkSession)
     masks = _masks(budget, n)
     dealt = distinct.select("fp", "rep", F.posexplode(F.array(*(F.col("fp").bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m).cast("bigint")) for m in masks))).alias("mask", "part"))
     hot = dealt.groupBy("mask", "part").count().where(F.col("count") > GROUP).select("mask", "part", F.ceil(F.col("count") / GROUP).cast("int").alias("chunks"))

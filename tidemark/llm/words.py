@@ -35,7 +35,7 @@ def lower_words(text: bytes | None) -> list[bytes]:
 
 def map_batches(df: DataFrame, function: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
     """``function`` over the Arrow batches of ``df``."""
-    shared.small_batches(df.sparkSession)
+    shared.ready_workers(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
