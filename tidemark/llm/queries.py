@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, langid, mixing, quality, sharding, simhash, vecdup
+from tidemark.llm import bpe, kneser_ney, langid, mixing, quality, sharding, simhash, vecdup
 
 #: Domains of the sources, and the weights of domains and languages. Other values weigh OTHER.
 DOMAINS = {"web": [0], "books": [1, 2, 3, 4], "news": [5, 6, 7, 8, 9], "forums": list(range(10, 20))}
@@ -69,6 +69,13 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log probabilities of every document under a model of nine folds of ten."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = kneser_ney.scored(docs, kneser_ney.train(docs, fold(10) != 0, order=2))
+    return found.select("doc_id", (fold(10) == 0).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity")
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Law ``rows``: shards of equal counts by proportional stratified interleaving of the sources."""
     text = F.coalesce(F.col("text"), F.lit(""))
@@ -85,7 +92,7 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_embedding_dedup, op3_simhash, op4_quality, op6_byte_bpe, op8_sharding, op9_mixing)}
+    return {f.__name__: f for f in (op1_language_id, op2_embedding_dedup, op3_simhash, op4_quality, op6_byte_bpe, op7_lm_scoring, op8_sharding, op9_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
