@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm import shared, words
+from tidemark.llm import blobs, shared, words
 
 #: Hashes of the end of a text and of the place before its first word; words hash to these with a chance of 2 in 2**64.
 END, START = np.uint64(0x9AE16A3B2F90404F), np.uint64(0xC949D7C7509E6557)
@@ -49,68 +49,6 @@ def _summed(key: np.ndarray, columns: list[np.ndarray], sums: list[np.ndarray])
     return key[first], [c[order[first]] for c in columns], [np.add.reduceat(s[order], first) for s in sums]
 
 
-def _fewest(top: int) -> str:
-    """The smallest unsigned type that holds ``top``."""
-    return next(t for t in ("<u1", "<u2", "<u4", "<u8") if top <= np.iinfo(t).max)
-
-
-def _packed(columns: list[np.ndarray]) -> bytes:
-    """Columns of equal length as bytes: numbers in the fewest bytes, hashes as their distinct values and places where that is shorter."""
-    out = [np.array([len(columns), len(columns[0])], "<u8").tobytes()]
-    for c in columns:
-        kind, values = _fewest(int(c.max()) if len(c) else 0), None
-        if kind == "<u8" and len(c) > 64:
-            values, place = np.unique(c, return_inverse=True)
-            small = _fewest(len(values))
-            if 8 * len(values) + int(small[-1]) * len(c) < 8 * len(c):
-                c, kind = place, small
-            else:
-                values = None
-        out += [kind[1:].encode(), np.array([0 if values is None else len(values)], "<u8").tobytes(), b"" if values is None else values.astype("<u8").tobytes(), c.astype(kind).tobytes()]
-    return b"".join(out)
-
-
-def _unpacked(raw: bytes) -> list[np.ndarray]:
-    (n, rows), at, out = (int(x) for x in np.frombuffer(raw, "<u8", 2)), 16, []
-    for _ in range(n):
-        kind, distinct = np.dtype("<" + raw[at : at + 2].decode()), int(np.frombuffer(raw, "<u8", 1, at + 2)[0])
-        values = np.frombuffer(raw, "<u8", distinct, at + 10)
-        at += 10 + 8 * distinct
-        found = np.frombuffer(raw, kind, rows, at)
-        out.append(values[found] if distinct else found.astype(np.uint64))
-        at += rows * kind.itemsize
-    return out
-
-
-def _dealt(kind: str, columns: list[np.ndarray], by: np.ndarray, shards: int) -> Iterator[tuple[str, int, bytes]]:
-    """The rows cut into shards by the leading bits of ``by``, which is in order."""
-    if not len(by):
-        return
-    edges = np.searchsorted(by, (np.arange(1, shards, dtype=np.uint64) << np.uint64(64 - (shards - 1).bit_length())), "left")
-    for s, (a, b) in enumerate(zip([0, *edges], [*edges, len(by)])):
-        if b > a:
-            yield kind, s, _packed([c[a:b] for c in columns])
-
-
-def _blobs(rows: list[tuple[str, int, bytes]]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows]), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.binary())], ["kind", "shard", "data"])
-
-
-def _in_rows(rows: Iterator[tuple[str, int, bytes]], size: int = 8 << 20) -> Iterator[pa.RecordBatch]:
-    held, total = [], 0
-    for r in rows:
-        held.append(r)
-        total += len(r[2])
-        if total >= size:
-            yield _blobs(held)
-            held, total = [], 0
-    if held:
-        yield _blobs(held)
-
-
-_BLOBS = "kind string, shard int, data binary"
-
-
 @dataclass
 class Model:
     """Where the arrays lie, and the totals that all texts share."""
@@ -158,9 +96,9 @@ def train(docs: DataFrame, learned: Column, order: int = 2, text: str = "text")
             grams = [np.concatenate(x) for x in zip(*parts)]
             parts.clear()
             key, _, sums = _summed(grams[-1], [], [np.ones(size, np.uint64)])
-            yield from _dealt("word", [key, *sums], key, shards)
+            yield from blobs.dealt("word", [key, *sums], key, shards)
             key, grams, sums = _summed(chained(grams), grams, [np.ones(size, np.uint64)])
-            yield from _dealt("gram", [*grams, *sums], key, shards)
+            yield from blobs.dealt("gram", [*grams, *sums], key, shards)
 
         for batch in batches:
             for t in batch.column(0).to_pylist():
@@ -169,10 +107,10 @@ def train(docs: DataFrame, learned: Column, order: int = 2, text: str = "text")
                 parts.append([padded[k : k + len(found)] for k in range(order)])
                 size += len(found)
                 if size >= GATHERED:
-                    yield from _in_rows(counted())
+                    yield from blobs.in_rows(counted())
                     size = 0
         if size:
-            yield from _in_rows(counted())
+            yield from blobs.in_rows(counted())
 
     def merge(level: int):
         """One level's rows, a shard at a time, to arrays in the folder and to the rows of the level below."""
@@ -182,12 +120,12 @@ def train(docs: DataFrame, learned: Column, order: int = 2, text: str = "text")
             for batch in batches:
                 for kind, shard, data in zip(*(c.to_pylist() for c in batch.columns)):
                     if (kind, shard) != at and held:
-                        yield from _in_rows(merged(*at, held))
+                        yield from blobs.in_rows(merged(*at, held))
                         held = []
                     at = (kind, shard)
-                    held.append(data if kind == "tally" else _unpacked(data))
+                    held.append(data if kind == "tally" else blobs.unpacked(data))
             if held:
-                yield from _in_rows(merged(*at, held))
+                yield from blobs.in_rows(merged(*at, held))
 
         def merged(kind: str, shard: int, parts: list) -> Iterator[tuple[str, int, bytes]]:
             if kind == "tally":
@@ -198,7 +136,7 @@ def train(docs: DataFrame, learned: Column, order: int = 2, text: str = "text")
             if kind == "word":
                 key, _, (n,) = _summed(columns[0], [], columns[1:])
                 write("word", 0, shard, [key, n])
-                yield "tally", shard, _packed([np.array([0, n.sum(), len(n)], np.uint64)])
+                yield "tally", shard, blobs.packed([np.array([0, n.sum(), len(n)], np.uint64)])
             elif kind == "context":
                 key, _, sums = _summed(columns[0], [], columns[1:])
                 write("context", level + 1, shard, [key, *sums])
@@ -206,28 +144,28 @@ def train(docs: DataFrame, learned: Column, order: int = 2, text: str = "text")
                 key, grams, (n,) = _summed(chained(columns[:level]), columns[:level], columns[level:])
                 write("gram", level, shard, [key, n])
                 counts = np.bincount(np.minimum(n, 5).astype(np.int64), minlength=6)[1:5]
-                yield "tally", shard, _packed([np.array([level, *counts, n.sum()], np.uint64)])
+                yield "tally", shard, blobs.packed([np.array([level, *counts, n.sum()], np.uint64)])
                 if level > 1:
                     # The followers of the contexts; and the rows of the level below, where each row here is one more word before.
                     key, _, sums = _summed(chained(grams[:-1]), [], [n, *((n == k).astype(np.uint64) for k in (1, 2)), (n > 2).astype(np.uint64)])
-                    yield from _dealt("context", [key, *sums], key, shards)
+                    yield from blobs.dealt("context", [key, *sums], key, shards)
                     key, rest, sums = _summed(chained(grams[1:]), grams[1:], [np.ones(len(n), np.uint64)])
-                    yield from _dealt("gram", [*rest, *sums], key, shards)
+                    yield from blobs.dealt("gram", [*rest, *sums], key, shards)
 
         def write(kind: str, depth: int, shard: int, columns: list[np.ndarray]) -> None:
-            kinds = ["<u8", *(_fewest(int(c.max()) if len(c) else 0) for c in columns[1:])]
+            kinds = ["<u8", *(blobs.fewest(int(c.max()) if len(c) else 0) for c in columns[1:])]
             head = json.dumps({"rows": len(columns[0]), "kinds": kinds}).encode().ljust(HEAD)
             shared.put(f"{folder}/{kind}-{depth}-{shard}", b"".join([head, *(c.astype(k).tobytes() for c, k in zip(columns, kinds))]))
 
         return run
 
     # One job: each level is merged from the shuffle above, and a few numbers of each shard come to the driver.
-    stage = rows.mapInArrow(gather, _BLOBS)
+    stage = rows.mapInArrow(gather, blobs.SCHEMA)
     for level in range(order, 0, -1):
-        stage = stage.repartition(shards, "kind", "shard").sortWithinPartitions("kind", "shard").mapInArrow(merge(level), _BLOBS)
+        stage = stage.repartition(shards, "kind", "shard").sortWithinPartitions("kind", "shard").mapInArrow(merge(level), blobs.SCHEMA)
     tallies, tokens, distinct = np.zeros((order + 1, 5), np.int64), 0, 0
     for r in stage.collect():
-        level, *found = _unpacked(bytes(r["data"]))[0].astype(np.int64)
+        level, *found = blobs.unpacked(bytes(r["data"]))[0].astype(np.int64)
         if level:
             tallies[level] += found
         else:
