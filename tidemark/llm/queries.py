@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, kneser_ney, langid, mixing, quality, sharding, simhash, vecdup
+from tidemark.llm import bpe, kneser_ney, langid, linedup, mixing, quality, sharding, simhash, vecdup
 
 #: Domains of the sources, and the weights of domains and languages. Other values weigh OTHER.
 DOMAINS = {"web": [0], "books": [1, 2, 3, 4], "news": [5, 6, 7, 8, 9], "forums": list(range(10, 20))}
@@ -91,8 +91,18 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chosen.select("doc_id", domain().alias("domain"), "lang", "source", "n_tokens", "leaf_tokens", "leaf_budget", "copies")
 
 
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of every document that match no earlier line at a Jaccard similarity of 0.8."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    kept = linedup.kept_lines(docs, 0.8)
+    wordy = F.filter(F.split(F.coalesce("text", F.lit("")), "\n"), lambda line: line.rlike(mixing.WORD))
+    found = docs.select("doc_id", F.size(wordy).cast("bigint").alias("n_lines")).join(kept, "doc_id", "left")
+    n_kept = F.coalesce(F.size("kept"), F.lit(0)).cast("bigint")
+    return found.select("doc_id", "n_lines", n_kept.alias("n_kept"), (F.col("n_lines") - n_kept).alias("n_removed"), F.coalesce(F.concat_ws(",", F.col("kept").cast("array<string>")), F.lit("")).alias("kept_lines"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_embedding_dedup, op3_simhash, op4_quality, op6_byte_bpe, op7_lm_scoring, op8_sharding, op9_mixing)}
+    return {f.__name__: f for f in (op1_language_id, op2_embedding_dedup, op3_simhash, op4_quality, op6_byte_bpe, op7_lm_scoring, op8_sharding, op9_mixing, op10_line_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
