@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, kneser_ney, langid, linedup, mixing, quality, sharding, simhash, vecdup
+from tidemark.llm import bpe, kneser_ney, langid, linedup, mixing, quality, rules, sharding, simhash, vecdup
 
 #: Domains of the sources, and the weights of domains and languages. Other values weigh OTHER.
 DOMAINS = {"web": [0], "books": [1, 2, 3, 4], "news": [5, 6, 7, 8, 9], "forums": list(range(10, 20))}
@@ -64,6 +64,12 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rules of every document; the trusted target are the documents labelled 1."""
+    trusted = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
+    return rules.rules(table(spark, sf_dir, "documents").select("doc_id", "text"), trusted)
+
+
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of the 50k vocabulary and what they decode to, as digests."""
     return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
@@ -102,7 +108,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_embedding_dedup, op3_simhash, op4_quality, op6_byte_bpe, op7_lm_scoring, op8_sharding, op9_mixing, op10_line_dedup)}
+    return {f.__name__: f for f in (op1_language_id, op2_embedding_dedup, op3_simhash, op4_quality, op5_quality_rules, op6_byte_bpe, op7_lm_scoring, op8_sharding, op9_mixing, op10_line_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
