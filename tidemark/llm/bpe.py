@@ -102,10 +102,12 @@ def _mapped(docs: DataFrame, path: str, pattern: str, ident: str, text: str, kin
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         own = coder(file.value, pattern)
-        return pa.RecordBatch.from_arrays([batch.column(0), *values(own, batch.column(1).to_pylist())], names)
+        given = batch.column(1).to_pylist()
+        return pa.RecordBatch.from_arrays([batch.column(0), *values(own, [words.decoded(t) if isinstance(t, bytes) else t for t in given])], names)
 
     names = [ident, *(k.split()[0] for k in kinds.split(", "))]
-    return words.map_batches(docs.select(ident, F.col(text)), run, f"`{ident}` {dict(docs.dtypes)[ident]}, {kinds}")
+    given = F.col(text).cast("binary") if dict(docs.dtypes)[text] == "string" else F.col(text)
+    return words.map_batches(docs.select(ident, given.alias("_given")), run, f"`{ident}` {dict(docs.dtypes)[ident]}, {kinds}")
 
 
 def encoded(docs: DataFrame, path: str, pattern: str, ident: str = "doc_id", text: str = "text") -> DataFrame:
@@ -140,3 +142,19 @@ def digests(docs: DataFrame, path: str, pattern: str, ident: str = "doc_id", tex
         return [pa.array(n, pa.int64()), pa.array(ids_sum), pa.array(decoded_sum)]
 
     return _mapped(docs, path, pattern, ident, text, "n_tokens bigint, ids_sha256 string, decoded_sha256 string", values)
+
+
+def encoded_rows(docs: DataFrame, path: str, pattern: str, text: str = "text") -> DataFrame:
+    """The rows with ``ids``, ``n_tokens`` and ``round_trip`` (the ids decode to the text) in place of the text; null counts as empty."""
+    with open(path, "rb") as f:
+        file = docs.sparkSession.sparkContext.broadcast(f.read())
+    keep, kinds = [c for c in docs.columns if c not in (text, "ids", "n_tokens", "round_trip")], dict(docs.dtypes)
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        own = coder(file.value, pattern)
+        texts = [words.decoded(t) for t in batch.column(0).to_pylist()]
+        ids = [own.encode(t) for t in texts]
+        same = [own.decode(i) == t.encode() for i, t in zip(ids, texts)]
+        return pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(ids, pa.list_(pa.int32())), pa.array([len(i) for i in ids], pa.int64()), pa.array(same)], [*keep, "ids", "n_tokens", "round_trip"])
+
+    return words.map_batches(docs.select(F.col(text).cast("binary").alias("_text"), *keep), run, ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), "ids array<int>", "n_tokens bigint", "round_trip boolean"]))

@@ -121,10 +121,10 @@ def learn(docs: DataFrame, learned: Column, ident: str = "doc_id", text: str = "
     place = F.pmod(F.xxhash64(F.col(ident).cast("string"), F.lit(11)), F.lit(1 << 30)) / float(1 << 30)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        found = [profile(t) for t in batch.column(1).to_pylist()]
+        found = [profile(words.decoded(t)) for t in batch.column(1).to_pylist()]
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array([p.astype("<u2" if p.max() < 1 << 16 else "<u4").tobytes() for p in found], pa.binary())], ["lang", "counts"])
 
-    chosen = rows.where(place < portion).select(F.col(lang).alias("lang"), F.col(text).alias("text")).limit(2 * sample * len(languages))
+    chosen = rows.where(place < portion).select(F.col(lang).alias("lang"), F.col(text).cast("binary").alias("text")).limit(2 * sample * len(languages))
     got = words.map_batches(chosen, run, "lang string, counts binary").collect()
     index = {name: k for k, name in enumerate(languages)}
     profiles = np.zeros((len(got), BUCKETS), np.float32)
@@ -142,7 +142,7 @@ def predict(docs: DataFrame, model: Model, ident: str = "doc_id", text: str = "t
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         own: Model = held.value
-        texts = batch.column(1).to_pylist()
+        texts = [words.decoded(t) for t in batch.column(1).to_pylist()]
         known = [k for k, t in enumerate(texts) if t and own.languages and _LETTER.search(t)]
         name, score, next_best = [UNKNOWN] * len(texts), np.zeros(len(texts)), [None] * len(texts)
         for some in (known[k : k + 64] for k in range(0, len(known), 64)):
@@ -153,4 +153,4 @@ def predict(docs: DataFrame, model: Model, ident: str = "doc_id", text: str = "t
                 next_best[k] = own.languages[o[1]] if len(o) > 1 else None
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(name), pa.array(score), pa.array(score < SURE), pa.array(next_best, pa.string())], [ident, "lang_pred", "score", "ambiguous", "runner_up"])
 
-    return words.map_batches(docs.select(ident, text), run, f"`{ident}` {dict(docs.dtypes)[ident]}, lang_pred string, score double, ambiguous boolean, runner_up string")
+    return words.map_batches(docs.select(ident, F.col(text).cast("binary").alias("_text")), run, f"`{ident}` {dict(docs.dtypes)[ident]}, lang_pred string, score double, ambiguous boolean, runner_up string")

@@ -52,19 +52,21 @@ class Compressors:
         return total / (len(text) + SMOOTH)
 
 
-def _differences(rows: DataFrame, good: bytes, bad: bytes, text: str, model: Model | None = None) -> DataFrame:
-    """The rows with ``difference``, and ``score`` where there is a model, in place of the text."""
+def _differences(rows: DataFrame, good: bytes, bad: bytes, text: str, model: Model | None = None, whole: bool = False) -> DataFrame:
+    """The rows with ``difference``, and ``score`` where there is a model, in place of the text; or beside it, if they are to be ``whole``."""
     held = rows.sparkSession.sparkContext.broadcast((good, bad, model))
     keep, kinds = [c for c in rows.columns if c != text], dict(rows.dtypes)
+    names = [*([text] if whole else []), *keep]
     out = ["difference", "score"] if model else ["difference"]
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         *files, curve = held.value
         own = Compressors(*files)
         found = np.array([own.difference(t or b"") for t in batch.column(0).to_pylist()])
-        return pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(found), *([pa.array(curve.score(found))] if curve else [])], [*keep, *out])
+        given = [batch.column(0).view(pa.string())] if whole else []
+        return pa.RecordBatch.from_arrays([*given, *batch.columns[1:], pa.array(found), *([pa.array(curve.score(found))] if curve else [])], [*names, *out])
 
-    return words.map_batches(rows.select(F.col(text).cast("binary").alias("_text"), *keep), run, ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), *(f"{c} double" for c in out)]))
+    return words.map_batches(rows.select(F.col(text).cast("binary").alias("_text"), *keep), run, ", ".join([*(f"`{c}` {kinds[c]}" for c in names), *(f"{c} double" for c in out)]))
 
 
 def _dictionary(pieces: list[bytes]) -> bytes:
@@ -137,11 +139,11 @@ def learn(docs: DataFrame, labels: DataFrame, learned: Column, ident: str = "doc
     return Model(good_file, bad_file, *_calibrated(np.array([r["difference"] for r in got]), y, share))
 
 
-def scored(docs: DataFrame, model: Model, threshold: float = 0.3, text: str = "text") -> DataFrame:
-    """The rows without their text, with ``difference``, ``score`` (the chance of label 1) and ``predicted`` (1 if score >= threshold).
+def scored(docs: DataFrame, model: Model, threshold: float = 0.3, text: str = "text", whole: bool = False) -> DataFrame:
+    """The rows, without their text unless they are to be ``whole``, with ``difference``, ``score`` (the chance of label 1) and ``predicted`` (1 if score >= threshold).
 
     A null text is scored like an empty one, whose difference is 0. Columns of the results' names are replaced.
     """
     kept = [c for c in docs.columns if c not in ("difference", "score", "predicted")]
-    found = _differences(docs.select(*kept), model.good, model.bad, text, model)
+    found = _differences(docs.select(*kept), model.good, model.bad, text, model, whole)
     return found.withColumn("predicted", F.when(F.col("score") >= threshold, 1).otherwise(0))

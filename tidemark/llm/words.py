@@ -28,6 +28,11 @@ class Hashes(dict):
         return np.array(list(map(self.__getitem__, words)), np.uint64)
 
 
+def decoded(text: bytes | None) -> str:
+    """A text as a string: empty for null; bytes that are no UTF-8 are replaced."""
+    return text.decode("utf-8", "replace") if text else ""
+
+
 def lower_words(text: bytes | None) -> list[bytes]:
     """Words between ASCII white space, A-Z lower-cased; none for null."""
     return text.lower().split() if text else []
