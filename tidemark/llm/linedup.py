@@ -22,7 +22,7 @@ LONG = 50_000
 PAIRS, GATHERED = 2_000_000, 1_000_000
 #: Candidates that a line gets from each list in the first round; FACTOR times as many in each later one. Only their number, never the result,
 #: depends on it: rounds go on until every line has a verified match or no candidate left.
-FIRST, FACTOR = 2, 16
+FIRST, FACTOR = 4, 64
 #: Buckets by which documents and lines that hold candidates are told from others.
 MARKS = 1 << 20
 
@@ -51,9 +51,15 @@ class Rule:
         return n * self.t.denominator // self.t.numerator
 
 
-def text_lines(text: bytes | None) -> list[list[bytes]]:
-    """The words of each line, A-Z lower-cased; lines end at \\n."""
-    return [line.split() for line in (text or b"").lower().split(b"\n")]
+def scanned(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of all words of the texts: the hash (A-Z lower-cased), a number that rises with each line, the text's place, and the line's number in it."""
+    texts = [t or b"" for t in texts]
+    raw = b"\n".join(texts).lower()
+    token, start = words.hashed_words(raw)
+    line = np.searchsorted(np.flatnonzero(np.frombuffer(raw, np.uint8) == 10), start)
+    first = np.concatenate([[0], np.cumsum([t.count(b"\n") + 1 for t in texts])])[:-1].astype(np.int64)
+    place = np.searchsorted(first, line, "right") - 1
+    return token, line, place, line - first[place]
 
 
 def _levels(counts: np.ndarray) -> np.ndarray:
@@ -65,12 +71,10 @@ def token_levels(docs: DataFrame, text: str) -> np.ndarray:
     """How common the tokens of each bucket are in all texts. The table has a fixed size, so it can be broadcast."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, counts = words.Hashes(), np.zeros(BUCKETS, np.uint32)
+        counts = np.zeros(BUCKETS, np.uint32)
         for batch in batches:
-            found = [hashes.of(w) for t in batch.column(0).to_pylist() if (w := words.lower_words(t))]
-            if found:
-                at, n = np.unique((np.concatenate(found) >> _U(64 - 22)).astype(np.int64), return_counts=True)
-                counts[at] += n.astype(np.uint32)
+            raw = b"\n".join([t or b"" for t in batch.column(0).to_pylist()]).lower()
+            np.add.at(counts, (words.hashed_words(raw)[0] >> _U(64 - 22)).astype(np.int64), np.uint32(1))
         rows = []
         for s in range(BUCKETS // SLICE):
             at = np.flatnonzero(counts[s * SLICE : (s + 1) * SLICE])
@@ -98,13 +102,10 @@ def token_levels(docs: DataFrame, text: str) -> np.ndarray:
 def _ordered(line: np.ndarray, token: np.ndarray, levels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Each line's distinct tokens, rare ones first: by level, then by hash."""
     level = levels[(token >> _U(64 - 22)).astype(np.int64)]
-    order = np.lexsort((token, level, line)) if line[-1] >= 1 << 14 else None
-    if order is None:
-        order = np.argsort((line.astype(np.uint64) << _U(50)) | (level.astype(np.uint64) << _U(42)) | (token >> _U(22)), kind="stable")
-        l, t = line[order], token[order]
-        close = (l[1:] == l[:-1]) & (t[1:] >> _U(22) == t[:-1] >> _U(22)) & (t[1:] != t[:-1])
-        if close.any():  # hashes that are alike in 42 bits: sort by all of them
-            order = np.lexsort((token, level, line))
+    order = np.argsort((line.astype(np.uint64) << _U(48)) | (level.astype(np.uint64) << _U(40)) | (token >> _U(24)))
+    l, t = line[order], token[order]
+    if line[-1] >= 1 << 16 or ((l[1:] == l[:-1]) & (t[1:] >> _U(24) == t[:-1] >> _U(24)) & (t[1:] != t[:-1])).any():
+        order = np.lexsort((token, level, line))  # more lines than the key holds, or hashes that are alike in 40 bits
     line, token = line[order], token[order]
     new = np.concatenate([[True], (line[1:] != line[:-1]) | (token[1:] != token[:-1])])
     return line[new], token[new]
@@ -114,20 +115,14 @@ def _line_sets(docs: DataFrame, ident: str, text: str, rule: Rule, least: int, l
     """A row for each different token set of a document: hash, signature, size, prefix, and the first line that has it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = words.Hashes()
         for whole in batches:
             for batch in _pieces(whole):
-                number, doc, length, found = [], [], [], []
-                for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                    for k, w in enumerate(text_lines(t)):
-                        if w:
-                            number.append(k)
-                            doc.append(d)
-                            length.append(len(w))
-                            found += w
-                if not number:
+                token, line, place, number = scanned(batch.column(1).to_pylist())
+                if not len(token):
                     continue
-                line, token = _ordered(np.repeat(np.arange(len(number)), length), hashes.of(found), levels.value)
+                new = np.concatenate([[True], line[1:] != line[:-1]])
+                doc, number = batch.column(0).to_numpy(zero_copy_only=False)[place[new]], number[new].astype(np.int32)
+                line, token = _ordered(np.cumsum(new) - 1, token, levels.value)
                 first = np.flatnonzero(np.concatenate([[True], line[1:] != line[:-1]]))
                 n = np.diff(np.append(first, len(line)))
                 mixed = words.mixed_hash(token, np.full(len(token), 77, np.uint64))
@@ -136,7 +131,6 @@ def _line_sets(docs: DataFrame, ident: str, text: str, rule: Rule, least: int, l
                 high = (mixed >> _U(6)) & _U(1) == 1
                 zero = _U(0)
                 s1, s2 = np.bitwise_xor.reduceat(np.where(high, bit, zero), first), np.bitwise_xor.reduceat(np.where(high, zero, bit), first)
-                doc, number = np.array(doc, np.int64), np.array(number, np.int32)
                 # The first line of each set in its document; a later one is a copy inside the document.
                 order = np.lexsort((number, total, doc))
                 new = np.concatenate([[True], (doc[order][1:] != doc[order][:-1]) | (total[order][1:] != total[order][:-1])])
@@ -169,10 +163,28 @@ def _pieces(batch: pa.RecordBatch, size: int = 1 << 21) -> Iterator[pa.RecordBat
         yield batch.slice(start)
 
 
-def _candidates(sets: DataFrame, rule: Rule, levels, limit: int, parts: int) -> DataFrame:
+def _open_buckets(opened: DataFrame):
+    """The buckets of the open lines' prefix tokens, in a table of fixed size; for later rounds, which only need these lists."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        marked = np.zeros(BUCKETS, bool)
+        for batch in batches:
+            for p in batch.column(0).to_pylist():
+                marked[np.frombuffer(p, "<u4") >> np.uint32(10)] = True
+        at = np.flatnonzero(marked)
+        if len(at):
+            yield pa.RecordBatch.from_arrays([pa.array(at)], ["bucket"])
+
+    out = np.zeros(BUCKETS, bool)
+    for r in opened.where("open").select("prefix").mapInArrow(run, "bucket bigint").distinct().toLocalIterator():
+        out[r[0]] = True
+    return out
+
+
+def _candidates(sets: DataFrame, rule: Rule, levels, limit: int, parts: int, only=None) -> DataFrame:
     """Earlier lines that may match a line that is ``open``: up to ``limit`` from each posting list, the closest signatures first.
 
-    ``more`` tells that a list held further ones.
+    ``more`` tells that a list held further ones. With ``only``, lists outside these buckets are left out.
     """
     shards = 1 << max(3, int(np.ceil(np.log2(max(1, parts)))))
 
@@ -193,6 +205,9 @@ def _candidates(sets: DataFrame, rule: Rule, levels, limit: int, parts: int) ->
             p = np.array([len(x) for x in raw])
             of, token = np.repeat(np.arange(len(raw)), p), np.concatenate(raw).astype(np.uint64)
             place = np.arange(len(of)) - np.repeat(np.cumsum(p) - p, p)
+            if only is not None:
+                wanted = only.value[(token >> _U(10)).astype(np.int64)]
+                of, token, place = of[wanted], token[wanted], place[wanted]
             # How many occurrences the token has at most decides the chunks of its list.
             chunks = np.ceil(2.0 ** (levels.value[(token >> _U(10)).astype(np.int64)] / 4.0) / LONG).astype(np.int64)
             own = (words.mixed_hash(s1.view(np.uint64), s2.view(np.uint64))[of] % np.maximum(chunks, 1).astype(np.uint64)).astype(np.int64)
@@ -290,20 +305,24 @@ def _tokens(docs: DataFrame, ident: str, text: str, wanted: DataFrame) -> DataFr
     held = docs.sparkSession.sparkContext.broadcast(marked)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = words.Hashes()
         for batch in batches:
-            doc, line, sets = [], [], []
+            doc, number, chosen = [], [], []
             for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 hit = np.flatnonzero(held.value[(d % MARKS * 1009 + np.arange(t.count(b"\n") + 1)) % MARKS])
                 if len(hit):
-                    lines = t.lower().split(b"\n")
-                    for k in hit.tolist():
-                        if w := lines[k].split():
-                            doc.append(d)
-                            line.append(k)
-                            sets.append(np.unique(hashes.of(w)).view(np.int64))
+                    lines = t.split(b"\n")
+                    doc += [d] * len(hit)
+                    number += hit.tolist()
+                    chosen += [lines[k] for k in hit.tolist()]
             if doc:
-                yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(line, pa.int32()), pa.array(sets, pa.list_(pa.int64()))], ["doc", "line", "tokens"])
+                token, line, _, _ = scanned(chosen)
+                order = np.lexsort((token, line))
+                token, line = token[order], line[order]
+                new = np.concatenate([[True], (line[1:] != line[:-1]) | (token[1:] != token[:-1])])[: len(token)]
+                token, line = token[new], line[new]
+                offsets = np.concatenate([[0], np.cumsum(np.bincount(line, minlength=len(doc)))]).astype(np.int32)
+                sets = pa.ListArray.from_arrays(pa.array(offsets), pa.array(token.view(np.int64)))
+                yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(number, pa.int32()), sets], ["doc", "line", "tokens"])
 
     rows = docs.where(F.col(ident).isNotNull() & F.col(text).isNotNull()).select(F.col(ident).cast("bigint").alias("_doc"), F.col(text).cast("binary").alias("_text"))
     return rows.mapInArrow(run, "doc bigint, line int, tokens array<bigint>")
@@ -327,9 +346,9 @@ def kept_lines(docs: DataFrame, threshold: float = 0.8, least: int = 1, ident: s
     parts = docs.rdd.getNumPartitions()
     sets = _line_sets(docs, ident, text, rule, least, held).groupBy("h", "s1", "s2", "n", "prefix").agg(F.min("doc").alias("doc"), F.min_by("line", "doc").alias("line"))
     sets = shared.cut(sets)
-    opened, limit, matched = sets.withColumn("open", F.lit(True)), FIRST, None
+    opened, limit, matched, only = sets.withColumn("open", F.lit(True)), FIRST, None, None
     while True:
-        pairs = _candidates(opened, rule, held, limit, parts).groupBy("doc", "line", "doc0", "line0").agg(F.min("apart").alias("apart"), F.max("more").alias("more"))
+        pairs = _candidates(opened, rule, held, limit, parts, only).groupBy("doc", "line", "doc0", "line0").agg(F.min("apart").alias("apart"), F.max("more").alias("more"))
         ranked = W.partitionBy("doc", "line").orderBy("apart", "doc0", "line0")
         whole = W.partitionBy("doc", "line")
         pairs = pairs.withColumns({"rank": F.row_number().over(ranked), "size": F.count(F.lit(1)).over(whole), "more": F.max("more").over(whole)})
@@ -348,6 +367,7 @@ def kept_lines(docs: DataFrame, threshold: float = 0.8, least: int = 1, ident: s
             break
         limit *= FACTOR
         opened = sets.join(left.withColumn("open", F.lit(True)), ["doc", "line"], "left").withColumn("open", F.coalesce("open", F.lit(False)))
+        only = spark.sparkContext.broadcast(_open_buckets(opened))
     kept = sets.select("doc", "line").join(matched, ["doc", "line"], "left_anti")
     return kept.groupBy(F.col("doc").alias(ident)).agg(F.sort_array(F.collect_list("line")).alias("kept"))
 
