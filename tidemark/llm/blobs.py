@@ -10,6 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 
 #: Columns of the rows.
 SCHEMA = "kind string, shard int, data binary"
@@ -21,41 +22,54 @@ def fewest(top: int) -> str:
 
 
 def packed(columns: list[np.ndarray]) -> bytes:
-    """Columns of equal length as bytes: numbers in the fewest bytes, hashes as their distinct values and places where that is shorter."""
+    """Columns of equal length as bytes.
+
+    Numbers take the fewest bytes that hold them. Hashes are given as their distinct values and places where that is shorter; places that rise, as
+    steps, which compress well.
+    """
     out = [np.array([len(columns), len(columns[0])], "<u8").tobytes()]
     for c in columns:
-        kind, values = fewest(int(c.max()) if len(c) else 0), None
+        kind, values, steps = fewest(int(c.max()) if len(c) else 0), None, 0
         if kind == "<u8" and len(c) > 64:
             values, place = np.unique(c, return_inverse=True)
-            small = fewest(len(values))
+            if steps := int((place[1:] >= place[:-1]).all()):
+                place = np.diff(place, prepend=0)
+            small = fewest(int(place.max()))
             if 8 * len(values) + int(small[-1]) * len(c) < 8 * len(c):
                 c, kind = place, small
             else:
-                values = None
-        out += [kind[1:].encode(), np.array([0 if values is None else len(values)], "<u8").tobytes(), b"" if values is None else values.astype("<u8").tobytes(), c.astype(kind).tobytes()]
-    return b"".join(out)
+                values, steps = None, 0
+        out += [kind[1:].encode(), np.array([0 if values is None else len(values), steps], "<u8").tobytes(), b"" if values is None else values.astype("<u8").tobytes(), c.astype(kind).tobytes()]
+    return zstandard.ZstdCompressor(level=1).compress(b"".join(out))
 
 
-def unpacked(raw: bytes) -> list[np.ndarray]:
+def unpacked(blob: bytes) -> list[np.ndarray]:
+    raw = zstandard.ZstdDecompressor().decompress(blob)
     (n, rows), at, out = (int(x) for x in np.frombuffer(raw, "<u8", 2)), 16, []
     for _ in range(n):
-        kind, distinct = np.dtype("<" + raw[at : at + 2].decode()), int(np.frombuffer(raw, "<u8", 1, at + 2)[0])
-        values = np.frombuffer(raw, "<u8", distinct, at + 10)
-        at += 10 + 8 * distinct
+        kind, (distinct, steps) = np.dtype("<" + raw[at : at + 2].decode()), (int(x) for x in np.frombuffer(raw, "<u8", 2, at + 2))
+        values = np.frombuffer(raw, "<u8", distinct, at + 18)
+        at += 18 + 8 * distinct
         found = np.frombuffer(raw, kind, rows, at)
-        out.append(values[found] if distinct else found.astype(np.uint64))
         at += rows * kind.itemsize
+        if distinct:
+            found = values[np.cumsum(found, dtype=np.int64) if steps else found]
+        out.append(found.astype(np.uint64))
     return out
 
 
-def dealt(kind: str, columns: list[np.ndarray], by: np.ndarray, shards: int) -> Iterator[tuple[str, int, bytes]]:
-    """The rows cut into shards by the leading bits of ``by``, which is in order."""
+def dealt(kind: str, columns: list[np.ndarray], by: np.ndarray, shards: int, arrange: bool = False) -> Iterator[tuple[str, int, bytes]]:
+    """The rows cut into shards by the leading bits of ``by``, which is in order; inside a shard in the first column's order, if ``arrange``."""
     if not len(by):
         return
     edges = np.searchsorted(by, (np.arange(1, shards, dtype=np.uint64) << np.uint64(64 - (shards - 1).bit_length())), "left")
     for s, (a, b) in enumerate(zip([0, *edges], [*edges, len(by)])):
         if b > a:
-            yield kind, s, packed([c[a:b] for c in columns])
+            own = [c[a:b] for c in columns]
+            if arrange:
+                order = np.argsort(own[0])
+                own = [c[order] for c in own]
+            yield kind, s, packed(own)
 
 
 def record_batch(rows: list[tuple[str, int, bytes]]) -> pa.RecordBatch:

@@ -26,19 +26,48 @@ GATHERED = 3_000_000
 HEAD = 256
 
 
-def token_hashes(text: bytes | None, hashes: words.Hashes) -> np.ndarray:
-    """The hashes of a text's words, A-Z lower-cased, and of its end."""
-    return np.append(hashes.of(words.lower_words(text)), END)
+def text_tokens(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of the texts' words, A-Z lower-cased, and of their ends; and where each text begins."""
+    found, size = words.text_words(texts)
+    ends = np.cumsum(size + 1) - 1
+    out = np.empty(len(found) + len(texts), np.uint64)
+    inner = np.ones(len(out), bool)
+    inner[ends] = False
+    out[inner], out[ends] = found, END
+    return out, ends - size
+
+
+def grams(token: np.ndarray, first: np.ndarray, order: int) -> list[np.ndarray]:
+    """The n-gram that ends at each token, a column for each of its words; before a text's first word stands START."""
+    place = np.arange(len(token)) - np.repeat(first, np.diff(np.append(first, len(token))))
+    columns = []
+    for back in range(order - 1, 0, -1):
+        before = np.concatenate([np.full(min(back, len(token)), START), token[: max(len(token) - back, 0)]])
+        columns.append(np.where(place < back, START, before))
+    return [*columns, token]
 
 
 def chained(columns: list[np.ndarray]) -> np.ndarray:
-    """The hash of an n-gram from the hashes of its words."""
+    """The hash of some words in a row from their hashes."""
     out = columns[0]
     for c in columns[1:]:
         out = words.mixed_hash(out, c)
     return out
 
 
+def gram_key(columns: list[np.ndarray]) -> np.ndarray:
+    """The hash of an n-gram by which it is dealt and found.
+
+    Its leading 16 bits come from the context and four bits of the last word: most n-grams of a context lie together, and those of a very common one
+    in sixteen places. The other 48 bits tell the n-grams there apart.
+    """
+    if len(columns) == 1:
+        return columns[0]
+    context, last = chained(columns[:-1]), columns[-1]
+    high = np.uint64(0xFFFF << 48)
+    return (words.mixed_hash(context, last >> np.uint64(60)) & high) | (words.mixed_hash(context, last) & ~high)
+
+
 def _summed(key: np.ndarray, columns: list[np.ndarray], sums: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
     """Rows of equal keys as one, in the keys' order: their first columns, and their sums added up."""
     if not len(key):
@@ -90,25 +119,23 @@ def train(docs: DataFrame, learned: Column, order: int = 2, text: str = "text")
     folder = shared.new_folder(spark, "kneser-ney")
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, parts, size = words.Hashes(), [], 0
+        parts, size = [], 0
 
         def counted() -> Iterator[tuple[str, int, bytes]]:
-            grams = [np.concatenate(x) for x in zip(*parts)]
+            columns = [np.concatenate(x) for x in zip(*parts)]
             parts.clear()
-            key, _, sums = _summed(grams[-1], [], [np.ones(size, np.uint64)])
+            key, _, sums = _summed(columns[-1], [], [np.ones(size, np.uint64)])
             yield from blobs.dealt("word", [key, *sums], key, shards)
-            key, grams, sums = _summed(chained(grams), grams, [np.ones(size, np.uint64)])
-            yield from blobs.dealt("gram", [*grams, *sums], key, shards)
+            key, columns, sums = _summed(gram_key(columns), columns, [np.ones(size, np.uint64)])
+            yield from blobs.dealt("gram", [*columns, *sums], key, shards, True)
 
         for batch in batches:
-            for t in batch.column(0).to_pylist():
-                found = token_hashes(t, hashes)
-                padded = np.concatenate([np.full(order - 1, START), found])
-                parts.append([padded[k : k + len(found)] for k in range(order)])
-                size += len(found)
-                if size >= GATHERED:
-                    yield from blobs.in_rows(counted())
-                    size = 0
+            token, first = text_tokens(batch.column(0).to_pylist())
+            parts.append(grams(token, first, order))
+            size += len(token)
+            if size >= GATHERED:
+                yield from blobs.in_rows(counted())
+                size = 0
         if size:
             yield from blobs.in_rows(counted())
 
@@ -141,16 +168,16 @@ def train(docs: DataFrame, learned: Column, order: int = 2, text: str = "text")
                 key, _, sums = _summed(columns[0], [], columns[1:])
                 write("context", level + 1, shard, [key, *sums])
             else:
-                key, grams, (n,) = _summed(chained(columns[:level]), columns[:level], columns[level:])
+                key, columns, (n,) = _summed(gram_key(columns[:level]), columns[:level], columns[level:])
                 write("gram", level, shard, [key, n])
                 counts = np.bincount(np.minimum(n, 5).astype(np.int64), minlength=6)[1:5]
                 yield "tally", shard, blobs.packed([np.array([level, *counts, n.sum()], np.uint64)])
                 if level > 1:
                     # The followers of the contexts; and the rows of the level below, where each row here is one more word before.
-                    key, _, sums = _summed(chained(grams[:-1]), [], [n, *((n == k).astype(np.uint64) for k in (1, 2)), (n > 2).astype(np.uint64)])
+                    key, _, sums = _summed(chained(columns[:-1]), [], [n, *((n == k).astype(np.uint64) for k in (1, 2)), (n > 2).astype(np.uint64)])
                     yield from blobs.dealt("context", [key, *sums], key, shards)
-                    key, rest, sums = _summed(chained(grams[1:]), grams[1:], [np.ones(len(n), np.uint64)])
-                    yield from blobs.dealt("gram", [*rest, *sums], key, shards)
+                    key, rest, sums = _summed(gram_key(columns[1:]), columns[1:], [np.ones(len(n), np.uint64)])
+                    yield from blobs.dealt("gram", [*rest, *sums], key, shards, level > 2)
 
         def write(kind: str, depth: int, shard: int, columns: list[np.ndarray]) -> None:
             kinds = ["<u8", *(blobs.fewest(int(c.max()) if len(c) else 0) for c in columns[1:])]
@@ -215,7 +242,7 @@ class Arrays:
 
 class Scorer:
     def __init__(self, model: Model):
-        self.model, self.hashes = model, words.Hashes()
+        self.model = model
         self._words = Arrays(model, "word", 0)
         self._grams = [Arrays(model, "gram", k) for k in range(1, model.order + 1)]
         self._contexts = [Arrays(model, "context", k) for k in range(2, model.order + 1)]
@@ -223,12 +250,10 @@ class Scorer:
     def batch(self, texts: list[bytes | None]) -> tuple[np.ndarray, ...]:
         """Tokens, known tokens, base score and score of each text."""
         m, k = self.model, self.model.order
-        each = [token_hashes(t, self.hashes) for t in texts]
-        size = np.array([len(e) for e in each])
-        first = np.concatenate([[0], np.cumsum(size)[:-1]])
-        tokens = np.concatenate(each)
-        padded = [np.concatenate([np.concatenate([np.full(k - 1, START), e])[j : j + len(e)] for e in each]) for j in range(k)]
-        single, back = np.unique(tokens, return_inverse=True)
+        token, first = text_tokens(texts)
+        size = np.diff(np.append(first, len(token)))
+        columns = grams(token, first, k)
+        single, back = np.unique(token, return_inverse=True)
         count = self._words.get(single, 1)[0]
         base = np.log10((count + 0.1) / (m.tokens + 0.1 * (m.distinct + 1)))[back]
         known = (count > 0)[back]
@@ -236,15 +261,15 @@ class Scorer:
         if m.total:
             chance = ((self._discounted(1, self._grams[0].get(single, 1)[0]) + m.taken / (m.distinct + 1)) / m.total)[back]
         else:
-            chance = np.ones(len(tokens))
+            chance = np.ones(len(token))
         for level in range(2, k + 1):
-            context = chained(padded[k - level : k - 1])
-            contexts, of = np.unique(context, return_inverse=True)
+            own = columns[k - level :]
+            contexts, of = np.unique(chained(own[:-1]), return_inverse=True)
             total, one, two, more = self._contexts[level - 2].get(contexts, 4)
             d = m.discounts[level - 1]
             left = np.where(total > 0, (d[0] * one + d[1] * two + d[2] * more) / np.maximum(total, 1), 1.0)
-            grams, to = np.unique(words.mixed_hash(context, padded[k - 1]), return_inverse=True)
-            seen = self._discounted(level, self._grams[level - 1].get(grams, 1)[0])[to]
+            keys, to = np.unique(gram_key(own), return_inverse=True)
+            seen = self._discounted(level, self._grams[level - 1].get(keys, 1)[0])[to]
             chance = seen / np.maximum(total, 1)[of] + left[of] * chance
         return size, np.add.reduceat(known.astype(np.int64), first), np.add.reduceat(base, first), np.add.reduceat(np.log10(chance), first)
 
