@@ -78,8 +78,9 @@ def _dictionary(pieces: list[bytes]) -> bytes:
         return b"".join(pieces)[:DICTIONARY]
 
 
-def _calibrated(difference: np.ndarray, label: np.ndarray, weight: np.ndarray, least: int = 8) -> tuple[np.ndarray, np.ndarray]:
-    """Points of a rising curve of the chance of label 1: pooled means of ``least`` rows or more, with a slight slope."""
+def _calibrated(difference: np.ndarray, label: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Points of a rising curve of the chance of label 1: pooled means of eight rows or more (fewer of a small sample), with a slight slope."""
+    least = max(1, min(8, len(label) // 50))
     order = np.argsort(difference, kind="stable")
     x, y, w = difference[order], label[order].astype(float), weight[order]
     cuts = np.arange(0, len(x), least)
