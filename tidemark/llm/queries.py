@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, kneser_ney, langid, linedup, mixing, quality, rules, sharding, simhash, vecdup
+from tidemark.llm import bpe, kneser_ney, langid, linedup, mixing, oracles, quality, rules, sharding, simhash, vecdup
 
 #: Domains of the sources, and the weights of domains and languages. Other values weigh OTHER.
 DOMAINS = {"web": [0], "books": [1, 2, 3, 4], "news": [5, 6, 7, 8, 9], "forums": list(range(10, 20))}
@@ -112,4 +112,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL has no way to train a classifier or a model, to split text for BPE, or to hash by XXH64; tests hold those queries against brute force."""
+    return {
+        "op2_embedding_dedup": oracles.embedding_dedup(0.93),
+        "op8_sharding": oracles.sharding(),
+        "op9_mixing": oracles.mixing(DOMAINS, WEIGHTS, OTHER, SHARE, EPOCHS),
+        "op10_line_dedup": oracles.line_dedup(),
+    }
