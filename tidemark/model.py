@@ -44,7 +44,7 @@ def samples(df: DataFrame) -> DataFrame:
 def series_key(labels: str | Column = "labels") -> Column:
     """The labels in order as an array, which can be grouped by, joined on and sorted, as a map can't; null labels are no labels."""
     given = F.col(labels) if isinstance(labels, str) else labels
-    return F.coalesce(F.array_sort(F.map_entries(given)), F.array_sort(F.map_entries(F.create_map().cast("map<string,string>"))))
+    return F.coalesce(F.sort_array(F.map_entries(given)), F.map_entries(F.create_map().cast("map<string,string>")))
 
 
 def label(key: str, labels: str | Column = "labels") -> Column:

@@ -40,11 +40,12 @@ def in_order(samples: DataFrame) -> DataFrame:
 
 
 def latest(samples: DataFrame, sequence: str) -> DataFrame:
-    """One row for each series and time: the one with the greatest ``sequence``. The key holds the resolution, as rollups are series of their own."""
-    key = [F.col("name"), model.series_key().alias("_key"), F.col("ts"), F.col("resolution")]
-    columns = [c for c in samples.columns]
-    newest = samples.groupBy(*key).agg(F.max_by(F.struct(*(F.col(c).alias(c) for c in columns)), F.col(sequence)).alias("_row"))
-    return newest.select("_row.*")
+    """One row for each series and time: the one with the greatest ``sequence``, of equal ones the greatest value. Rollups are series of their own.
+
+    The condition on the place is known to the optimizer, which drops later rows before the shuffle.
+    """
+    newest = W.partitionBy("name", "_key", "ts", "resolution").orderBy(F.col(sequence).desc(), F.col("value").desc())
+    return samples.withColumn("_key", model.series_key()).withColumn("_place", F.row_number().over(newest)).where("_place = 1").drop("_key", "_place")
 
 
 def statistics(samples: DataFrame) -> DataFrame:
