@@ -306,7 +306,6 @@ def test_line_dedup(table, answer):
 def test_line_dedup_goes_on_for_lines_without_a_match(spark, monkeypatch):
     """Lists with more candidates than a round takes, of which the close ones don't match."""
     monkeypatch.setattr(linedup, "FIRST", 1)
-    monkeypatch.setattr(linedup, "FACTOR", 2)
     monkeypatch.setattr(linedup, "LONG", 20)
     rng = np.random.default_rng(4)
     texts = [" ".join(f"w{x}" for x in rng.choice(14, 9, replace=False)) for _ in range(150)]

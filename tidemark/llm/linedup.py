@@ -22,9 +22,9 @@ LARGE, WIDE = 128, 6
 LONG = 50_000
 #: Pairs that are compared at once, and postings that a worker gathers before it deals them.
 PAIRS, GATHERED = 2_000_000, 1_000_000
-#: Candidates that a line gets from each list in the first round; FACTOR times as many in each later one. Only their number, never the result,
-#: depends on it: rounds go on until every line has a verified match or no candidate left.
-FIRST, FACTOR = 4, 64
+#: Candidates that a line gets from each list, and in all, in the first round. The few lines of which none matches though there were more
+#: get all their candidates in the second, so the result does not depend on it.
+FIRST = 8
 #: Buckets by which documents and lines that hold candidates are told from others.
 MARKS = 1 << 20
 
@@ -189,8 +189,8 @@ def _open_buckets(opened: DataFrame):
     return out
 
 
-def _candidates(sets: DataFrame, rule: Rule, levels, limit: int, parts: int, only=None) -> DataFrame:
-    """Earlier lines that may match a line that is ``open``: up to ``limit`` from each posting list, the closest signatures first.
+def _candidates(sets: DataFrame, rule: Rule, levels, limit: int | None, parts: int, only=None) -> DataFrame:
+    """Earlier lines that may match a line that is ``open``: up to ``limit`` from each posting list, the closest signatures first, or all.
 
     ``more`` tells that a list held further ones. With ``only``, lists outside these buckets are left out.
     """
@@ -260,6 +260,12 @@ def _candidates(sets: DataFrame, rule: Rule, levels, limit: int, parts: int, onl
         count = last - np.arange(len(n)) - 1
         edges = np.concatenate([[0], np.cumsum(count)])
         found: list[list[np.ndarray]] = []
+
+        def out(a: np.ndarray, b: np.ndarray, apart: np.ndarray, more: np.ndarray) -> pa.RecordBatch:
+            own, other = (pa.array(doc[x].view(np.int64) ^ np.int64(-(1 << 63))) for x in (a, b))
+            numbers = (pa.array(line[x].astype(np.int32)) for x in (a, b))
+            return pa.RecordBatch.from_arrays([own, next(numbers), other, next(numbers), pa.array(apart.astype(np.int32)), pa.array(more)], ["doc", "line", "doc0", "line0", "apart", "more"])
+
         start = 0
         while start < len(n):
             stop = max(start + 1, int(np.searchsorted(edges, edges[start] + PAIRS, "right")) - 1)
@@ -284,16 +290,15 @@ def _candidates(sets: DataFrame, rule: Rule, levels, limit: int, parts: int, onl
                 later = (doc[i] > doc[j]) | ((doc[i] == doc[j]) & (line[i] > line[j]))
                 a, b = np.where(later, i, j), np.where(later, j, i)
                 keep = open_[a] > 0
-                if keep.any():
+                if keep.any() and limit is None:
+                    yield out(a[keep], b[keep], apart[keep], np.zeros(int(keep.sum()), bool))
+                elif keep.any():
                     found.append(best(a[keep], b[keep], apart[keep], np.zeros(int(keep.sum()), bool)))
                     if sum(len(f[0]) for f in found) > PAIRS:
                         found = [best(*(np.concatenate(x) for x in zip(*found)))]
             start = stop
         if found:
-            a, b, apart, more = best(*(np.concatenate(x) for x in zip(*found)))
-            signed = lambda x: pa.array(x.view(np.int64) ^ np.int64(-(1 << 63)))
-            arrays = [signed(doc[a]), pa.array(line[a].astype(np.int32)), signed(doc[b]), pa.array(line[b].astype(np.int32)), pa.array(apart.astype(np.int32)), pa.array(more)]
-            yield pa.RecordBatch.from_arrays(arrays, ["doc", "line", "doc0", "line0", "apart", "more"])
+            yield out(*best(*(np.concatenate(x) for x in zip(*found))))
 
     def best(a: np.ndarray, b: np.ndarray, apart: np.ndarray, more: np.ndarray) -> list[np.ndarray]:
         """The closest ``limit`` candidates of each posting; ``more`` where there were others."""
@@ -356,8 +361,8 @@ def kept_lines(docs: DataFrame, threshold: float = 0.8, least: int = 1, ident: s
     equal ``ident`` are one document of as many texts: of equal lines at the same number, all stay.
 
     Equal sets meet in a grouped minimum, so copies of a line are never paired. Different sets meet in the posting lists of
-    their prefix tokens, are filtered there, and the closest candidates of each line are verified on the sets themselves. A
-    line without a verified match of which a list held more candidates goes to another round.
+    their prefix tokens, are filtered there, and the closest candidates of each line are verified on the sets themselves. The
+    lines without a verified match that had more candidates have all of them verified in a second round.
     """
     spark, rule = docs.sparkSession, Rule(threshold)
     shared.ready_workers(spark)
@@ -365,13 +370,15 @@ def kept_lines(docs: DataFrame, threshold: float = 0.8, least: int = 1, ident: s
     parts = docs.rdd.getNumPartitions()
     sets = _line_sets(docs, ident, text, rule, least, held).groupBy("h", "s1", "s2", "n", "prefix", "wide").agg(F.min("doc").alias("doc"), F.min_by("line", "doc").alias("line"))
     sets = shared.cut(sets)
-    opened, limit, matched, only = sets.withColumn("open", F.lit(True)), FIRST, None, None
-    while True:
+    opened, matched, only = sets.withColumn("open", F.lit(True)), None, None
+    for limit in (FIRST, None):
         pairs = _candidates(opened, rule, held, limit, parts, only).groupBy("doc", "line", "doc0", "line0").agg(F.min("apart").alias("apart"), F.max("more").alias("more"))
         ranked = W.partitionBy("doc", "line").orderBy("apart", "doc0", "line0")
         whole = W.partitionBy("doc", "line")
-        pairs = pairs.withColumns({"rank": F.row_number().over(ranked), "size": F.count(F.lit(1)).over(whole), "more": F.max("more").over(whole)})
-        pairs = shared.cut(pairs.where(F.col("rank") <= limit).select("doc", "line", "doc0", "line0", (F.col("more") | (F.col("size") > limit)).alias("more")))
+        if limit:
+            pairs = pairs.withColumns({"rank": F.row_number().over(ranked), "size": F.count(F.lit(1)).over(whole), "more": F.max("more").over(whole)})
+            pairs = pairs.where(F.col("rank") <= limit).withColumn("more", F.col("more") | (F.col("size") > limit))
+        pairs = shared.cut(pairs.select("doc", "line", "doc0", "line0", "more"))
         wanted = pairs.select("doc", "line").union(pairs.select(F.col("doc0").alias("doc"), F.col("line0").alias("line")))
         tokens = shared.cut(_tokens(docs, ident, text, wanted).dropDuplicates(["doc", "line"]))
         own, earlier = tokens.withColumnRenamed("tokens", "a"), tokens.select(F.col("doc").alias("doc0"), F.col("line").alias("line0"), F.col("tokens").alias("b"))
@@ -382,9 +389,8 @@ def kept_lines(docs: DataFrame, threshold: float = 0.8, least: int = 1, ident: s
         hit = judged.where("similar").select("doc", "line")
         matched = hit if matched is None else matched.union(hit)
         left = judged.where("more and not similar").select("doc", "line")
-        if left.isEmpty():
+        if limit is None or left.isEmpty():
             break
-        limit *= FACTOR
         opened = sets.join(left.withColumn("open", F.lit(True)), ["doc", "line"], "left").withColumn("open", F.coalesce("open", F.lit(False)))
         only = spark.sparkContext.broadcast(_open_buckets(opened))
     kept = sets.select("doc", "line").join(matched, ["doc", "line"], "left_anti")
