@@ -21,16 +21,16 @@ def fewest(top: int) -> str:
     return next(t for t in ("<u1", "<u2", "<u4", "<u8") if top <= np.iinfo(t).max)
 
 
-def packed(columns: list[np.ndarray]) -> bytes:
+def packed(columns: list[np.ndarray], plain: bool = False) -> bytes:
     """Columns of equal length as bytes.
 
     Numbers take the fewest bytes that hold them. Hashes are given as their distinct values and places where that is shorter; places that rise, as
-    steps, which compress well.
+    steps, which compress well. ``plain`` leaves both out, for hashes that seldom repeat.
     """
     out = [np.array([len(columns), len(columns[0])], "<u8").tobytes()]
     for c in columns:
         kind, values, steps = fewest(int(c.max()) if len(c) else 0), None, 0
-        if kind == "<u8" and len(c) > 64:
+        if kind == "<u8" and len(c) > 64 and not plain:
             values, place = np.unique(c, return_inverse=True)
             if steps := int((place[1:] >= place[:-1]).all()):
                 place = np.diff(place, prepend=0)
@@ -40,11 +40,11 @@ def packed(columns: list[np.ndarray]) -> bytes:
             else:
                 values, steps = None, 0
         out += [kind[1:].encode(), np.array([0 if values is None else len(values), steps], "<u8").tobytes(), b"" if values is None else values.astype("<u8").tobytes(), c.astype(kind).tobytes()]
-    return zstandard.ZstdCompressor(level=1).compress(b"".join(out))
+    return b"".join(out) if plain else zstandard.ZstdCompressor(level=1).compress(b"".join(out))
 
 
-def unpacked(blob: bytes) -> list[np.ndarray]:
-    raw = zstandard.ZstdDecompressor().decompress(blob)
+def unpacked(blob: bytes, plain: bool = False) -> list[np.ndarray]:
+    raw = blob if plain else zstandard.ZstdDecompressor().decompress(blob)
     (n, rows), at, out = (int(x) for x in np.frombuffer(raw, "<u8", 2)), 16, []
     for _ in range(n):
         kind, (distinct, steps) = np.dtype("<" + raw[at : at + 2].decode()), (int(x) for x in np.frombuffer(raw, "<u8", 2, at + 2))
@@ -58,7 +58,7 @@ def unpacked(blob: bytes) -> list[np.ndarray]:
     return out
 
 
-def dealt(kind: str, columns: list[np.ndarray], by: np.ndarray, shards: int, arrange: bool = False) -> Iterator[tuple[str, int, bytes]]:
+def dealt(kind: str, columns: list[np.ndarray], by: np.ndarray, shards: int, arrange: bool = False, plain: bool = False) -> Iterator[tuple[str, int, bytes]]:
     """The rows cut into shards by the leading bits of ``by``, which is in order; inside a shard in the first column's order, if ``arrange``."""
     if not len(by):
         return
@@ -69,7 +69,7 @@ def dealt(kind: str, columns: list[np.ndarray], by: np.ndarray, shards: int, arr
             if arrange:
                 order = np.argsort(own[0])
                 own = [c[order] for c in own]
-            yield kind, s, packed(own)
+            yield kind, s, packed(own, plain)
 
 
 def record_batch(rows: list[tuple[str, int, bytes]]) -> pa.RecordBatch:

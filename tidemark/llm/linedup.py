@@ -16,8 +16,6 @@ from tidemark.llm import blobs, shared, words
 
 #: Buckets of the table of token counts (a power of two), in slices of SLICE. A token's bucket only decides its place in the order.
 BUCKETS, SLICE = 1 << 22, 1 << 16
-#: Sets of more tokens than LARGE have a second signature of WIDE words of 64 bits: in 128 bits the parities of so many are as good as random.
-LARGE, WIDE = 128, 6
 #: A token of more occurrences than this has its posting list cut into chunks that are joined pair by pair.
 LONG = 50_000
 #: Pairs that are compared at once, and postings that a worker gathers before it deals them.
@@ -25,6 +23,8 @@ PAIRS, GATHERED = 2_000_000, 1_000_000
 #: Candidates that a line gets from each list, and in all, in the first round. The few lines of which none matches though there were more
 #: get all their candidates in the second, so the result does not depend on it.
 FIRST = 8
+#: So many documents at most are sent to the scan of the texts, to pick out those whose lines are verified.
+FEW = 10_000
 #: Buckets by which documents and lines that hold candidates are told from others.
 MARKS = 1 << 20
 
@@ -140,22 +140,16 @@ def _line_sets(docs: DataFrame, ident: str, text: str, rule: Rule, least: int, l
                 keep = keep[n[keep] >= least]
                 if not len(keep):
                     continue
-                large = np.flatnonzero(n > LARGE)
-                wide = np.zeros((len(n), WIDE), np.uint64)
-                for k in large.tolist():
-                    more = words.mixed_hash(token[first[k] : first[k] + n[k]], np.full(n[k], 99, np.uint64))
-                    np.bitwise_xor.at(wide[k], ((more >> _U(6)) % _U(WIDE)).astype(np.int64), _U(1) << (more & _U(63)))
                 p = rule.prefix(n[keep])
                 at = np.repeat(first[keep], p) + np.arange(p.sum()) - np.repeat(np.cumsum(p) - p, p)
                 prefix = (token[at] >> _U(32)).astype("<u4")
                 offsets = np.concatenate([[0], np.cumsum(4 * p)]).astype(np.int32)
                 binary = pa.Array.from_buffers(pa.binary(), len(keep), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(prefix.tobytes())])
-                second = pa.array([w.tobytes() if k > LARGE else b"" for w, k in zip(wide[keep], n[keep])], pa.binary())
-                arrays = [*(pa.array(x[keep].view(np.int64)) for x in (total, s1, s2)), pa.array(n[keep].astype(np.int32)), binary, second, pa.array(doc[keep]), pa.array(number[keep])]
-                yield pa.RecordBatch.from_arrays(arrays, ["h", "s1", "s2", "n", "prefix", "wide", "doc", "line"])
+                arrays = [*(pa.array(x[keep].view(np.int64)) for x in (total, s1, s2)), pa.array(n[keep].astype(np.int32)), binary, pa.array(doc[keep]), pa.array(number[keep])]
+                yield pa.RecordBatch.from_arrays(arrays, ["h", "s1", "s2", "n", "prefix", "doc", "line"])
 
     rows = docs.where(F.col(ident).isNotNull() & F.col(text).isNotNull()).select(F.col(ident).cast("bigint").alias("_doc"), F.col(text).cast("binary").alias("_text"))
-    return rows.mapInArrow(run, "h bigint, s1 bigint, s2 bigint, n int, prefix binary, wide binary, doc bigint, line int")
+    return rows.mapInArrow(run, "h bigint, s1 bigint, s2 bigint, n int, prefix binary, doc bigint, line int")
 
 
 def _pieces(batch: pa.RecordBatch, size: int = 1 << 21) -> Iterator[pa.RecordBatch]:
@@ -203,16 +197,13 @@ def _candidates(sets: DataFrame, rule: Rule, levels, limit: int | None, parts: i
             columns = [np.concatenate(x) for x in zip(*held)]
             held.clear()
             order = np.argsort(columns[0])
-            yield from blobs.in_rows(blobs.dealt("post", [c[order] for c in columns], columns[0][order], shards))
+            yield from blobs.in_rows(blobs.dealt("post", [c[order] for c in columns], columns[0][order], shards, plain=True))
 
         for batch in batches:
             if not batch.num_rows:
                 continue
             s1, s2, n, doc, line, open_ = (batch.column(k).to_numpy(zero_copy_only=False) for k in (1, 2, 3, 5, 6, 7))
             raw = [np.frombuffer(p, "<u4") for p in batch.column(4).to_pylist()]
-            wide = np.zeros((len(n), WIDE), np.uint64)
-            for k in np.flatnonzero(n > LARGE).tolist():
-                wide[k] = np.frombuffer(batch.column(8)[k].as_py(), np.uint64)
             p = np.array([len(x) for x in raw])
             of, token = np.repeat(np.arange(len(raw)), p), np.concatenate(raw).astype(np.uint64)
             place = np.arange(len(of)) - np.repeat(np.cumsum(p) - p, p)
@@ -227,7 +218,7 @@ def _candidates(sets: DataFrame, rule: Rule, levels, limit: int | None, parts: i
             low, high = np.minimum(own[again], other), np.maximum(own[again], other)
             key = words.mixed_hash(token[again], (low * 65_536 + high).astype(np.uint64))
             of, place = of[again], place[again]
-            held.append([key, s1.view(np.uint64)[of], s2.view(np.uint64)[of], n[of].astype(np.uint64), place.astype(np.uint64), (doc[of] ^ np.int64(-(1 << 63))).view(np.uint64), line[of].astype(np.uint64), open_[of].astype(np.uint64), *wide[of].T])
+            held.append([key, s1.view(np.uint64)[of], s2.view(np.uint64)[of], n[of].astype(np.uint64), place.astype(np.uint64), doc[of].view(np.uint64), line[of].astype(np.uint64), open_[of].astype(np.uint64)])
             size += len(of)
             if size >= GATHERED:
                 yield from out()
@@ -243,16 +234,21 @@ def _candidates(sets: DataFrame, rule: Rule, levels, limit: int | None, parts: i
                     yield from joined(held)
                     held = []
                 at = shard
-                held.append(blobs.unpacked(data))
+                held.append(blobs.unpacked(data, True))
         if held:
             yield from joined(held)
 
     def joined(parts: list[list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
-        key, s1, s2, n, place, doc, line, open_, *wide = (np.concatenate(x) for x in zip(*parts))
+        key, s1, s2, n, place, doc, line, open_ = (np.concatenate(x) for x in zip(*parts))
         parts.clear()
-        n, place = n.astype(np.int64), place.astype(np.int64)
-        order = np.lexsort((n, key))
-        key, s1, s2, n, place, doc, line, open_, *wide = (c[order] for c in (key, s1, s2, n, place, doc, line, open_, *wide))
+        # One sort by list and size; lists whose keys are alike in 52 bits are read as one, which only adds candidates.
+        mixed = (key & ~_U(4095)) | np.minimum(n, _U(4095))
+        order = np.argsort(mixed)
+        mixed, s1, s2, n, place, doc, line, open_ = (c[order] for c in (mixed, s1, s2, n.astype(np.int64), place.astype(np.int64), doc.view(np.int64), line, open_))
+        key = mixed >> _U(12)
+        if n.max() > 4095:
+            order = np.lexsort((n, key))
+            key, s1, s2, n, place, doc, line, open_ = (c[order] for c in (key, s1, s2, n, place, doc, line, open_))
         index = np.cumsum(np.concatenate([[0], key[1:] != key[:-1]])).astype(np.int64)
         scale = np.int64(n.max()) + 2
         # Partners of a posting are those after it in its list, up to the longest line that can match.
@@ -262,7 +258,7 @@ def _candidates(sets: DataFrame, rule: Rule, levels, limit: int | None, parts: i
         found: list[list[np.ndarray]] = []
 
         def out(a: np.ndarray, b: np.ndarray, apart: np.ndarray, more: np.ndarray) -> pa.RecordBatch:
-            own, other = (pa.array(doc[x].view(np.int64) ^ np.int64(-(1 << 63))) for x in (a, b))
+            own, other = (pa.array(doc[x]) for x in (a, b))
             numbers = (pa.array(line[x].astype(np.int32)) for x in (a, b))
             return pa.RecordBatch.from_arrays([own, next(numbers), other, next(numbers), pa.array(apart.astype(np.int32)), pa.array(more)], ["doc", "line", "doc0", "line0", "apart", "more"])
 
@@ -278,15 +274,7 @@ def _candidates(sets: DataFrame, rule: Rule, levels, limit: int | None, parts: i
                 i, j, least = i[keep], j[keep], least[keep]
                 apart = (np.bitwise_count(s1[i] ^ s1[j]) + np.bitwise_count(s2[i] ^ s2[j])).astype(np.int64)
                 keep = apart <= n[i] + n[j] - 2 * least
-                i, j, apart, least = i[keep], j[keep], apart[keep], least[keep]
-                large = np.flatnonzero((n[i] > LARGE) & (n[j] > LARGE))
-                if len(large):
-                    a, b = i[large], j[large]
-                    further = sum(np.bitwise_count(w[a] ^ w[b]).astype(np.int64) for w in wide)
-                    keep = np.ones(len(i), bool)
-                    keep[large] = further <= n[a] + n[b] - 2 * least[large]
-                    apart[large] = np.maximum(apart[large], further)
-                    i, j, apart = i[keep], j[keep], apart[keep]
+                i, j, apart = i[keep], j[keep], apart[keep]
                 later = (doc[i] > doc[j]) | ((doc[i] == doc[j]) & (line[i] > line[j]))
                 a, b = np.where(later, i, j), np.where(later, j, i)
                 keep = open_[a] > 0
@@ -311,7 +299,7 @@ def _candidates(sets: DataFrame, rule: Rule, levels, limit: int | None, parts: i
         keep = rank < limit
         return [a[keep], b[keep], apart[keep], more[keep]]
 
-    posts = sets.select("h", "s1", "s2", "n", "prefix", "doc", "line", "open", "wide").mapInArrow(post, blobs.SCHEMA)
+    posts = sets.select("h", "s1", "s2", "n", "prefix", "doc", "line", "open").mapInArrow(post, blobs.SCHEMA)
     return posts.repartition(shards, "shard").sortWithinPartitions("shard").mapInArrow(match, "doc bigint, line int, doc0 bigint, line0 int, apart int, more boolean")
 
 
@@ -349,6 +337,9 @@ def _tokens(docs: DataFrame, ident: str, text: str, wanted: DataFrame) -> DataFr
                 yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(number, pa.int32()), sets], ["doc", "line", "tokens"])
 
     rows = docs.where(F.col(ident).isNotNull() & F.col(text).isNotNull()).select(F.col(ident).cast("bigint").alias("_doc"), F.col(text).cast("binary").alias("_text"))
+    few = wanted.select(F.col("doc").alias("_doc")).distinct().limit(FEW + 1)
+    if few.count() <= FEW:
+        rows = rows.join(F.broadcast(few), "_doc", "left_semi")
     return rows.mapInArrow(run, "doc bigint, line int, tokens array<bigint>")
 
 
@@ -368,7 +359,7 @@ def kept_lines(docs: DataFrame, threshold: float = 0.8, least: int = 1, ident: s
     shared.ready_workers(spark)
     held = spark.sparkContext.broadcast(token_levels(docs, text))
     parts = docs.rdd.getNumPartitions()
-    sets = _line_sets(docs, ident, text, rule, least, held).groupBy("h", "s1", "s2", "n", "prefix", "wide").agg(F.min("doc").alias("doc"), F.min_by("line", "doc").alias("line"))
+    sets = _line_sets(docs, ident, text, rule, least, held).groupBy("h", "s1", "s2", "n", "prefix").agg(F.min("doc").alias("doc"), F.min_by("line", "doc").alias("line"))
     sets = shared.cut(sets)
     opened, matched, only = sets.withColumn("open", F.lit(True)), None, None
     for limit in (FIRST, None):
