@@ -10,14 +10,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, linedup, mixing, quality, queries, shared, simhash
+from tidemark.llm import bpe, linedup, mixing, neartext, quality, queries, shared
 
 #: A document is rejected below this chance of a good label.
 QUALITY = 0.3
 #: A line is removed at this Jaccard similarity to an earlier one; lines of fewer different words are left alone.
 SIMILAR, LEAST_WORDS = 0.8, 5
-#: Words of a shingle and bits that may differ between near duplicates.
-SHINGLE, BITS = 5, 4
+#: Words of a shingle, the Jaccard similarity of near duplicates' shingle sets, and bits that may differ between the first candidates.
+SHINGLE, NEAR, BITS = 5, 0.8, 4
 #: The mixture's share of the tokens that are left, and how often a document may be taken.
 SHARE, EPOCHS = 0.9, 1
 
@@ -36,7 +36,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of the smallest number of each group of near duplicates; of rows of equal number one stays, those without number all stay."""
-    groups = simhash.near_duplicates(docs, shingle=SHINGLE, budget=BITS)
+    groups = neartext.near_duplicates(docs, NEAR, shingle=SHINGLE, budget=BITS)
     stay = groups.where(F.col("doc_id").cast("bigint") == F.col("component_id")).select("doc_id").distinct()
     numbered = docs.where("doc_id is not null").join(stay, "doc_id", "left_semi")
     return numbered.dropDuplicates(["doc_id"]).union(docs.where("doc_id is null")).select(*docs.columns)

@@ -16,7 +16,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 import corpus_pipeline
-from tidemark.llm import bpe, graph, kneser_ney, langid, linedup, mixing, quality, queries, simhash, vecdup, words
+from tidemark.llm import bpe, graph, kneser_ney, langid, linedup, mixing, neartext, quality, queries, simhash, vecdup, words
 
 SMALL = "/root/testdata/sf0.001"
 PATTERN = public_tokenizers.PATTERN
@@ -354,3 +354,26 @@ def test_pipeline(spark, table, tmp_path):
     assert {r["doc_id"] for r in after} < {r["doc_id"] for r in before} and 0.85 < size < 1
     own = library()
     assert {r["doc_id"]: list(r["ids"]) for r in kept[4][1]} == {r["doc_id"]: own.encode_ordinary(r["text"]) for r in kept[4][0]}
+
+
+def test_near_texts_down_to_the_threshold(spark, monkeypatch):
+    """Copies with ever more words changed, most beyond four bits of the fingerprint; lists with more candidates than a round takes."""
+    monkeypatch.setattr(neartext, "FIRST", 1)
+    rng = np.random.default_rng(5)
+    rows = [(-1, ""), (-2, None), (-3, "a b"), (-4, "A  b"), (-5, "b a")]
+    for k in range(12):
+        base = [f"w{x}" for x in rng.integers(0, 500, 220)]
+        for c in range(12):
+            text = list(base)
+            for at in rng.choice(220, c % 9, replace=False):
+                text[at] = f"x{k}y{c}z{at}"
+            rows.append((k * 12 + c, " ".join(text)))
+    docs = spark.createDataFrame([(i, t, None, None, 0) for i, t in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    after = {r["doc_id"] for r in corpus_pipeline.simhash_dedup(spark, docs, SMALL).collect()}
+    rows.sort(key=lambda r: r[0])
+    found = [(t or "").lower().split() for _, t in rows]
+    sets = [{tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set() for w in found]
+    links = [(a, b) for a in range(len(sets)) for b in range(a) if 10 * len(sets[a] & sets[b]) >= 8 * len(sets[a] | sets[b])]
+    assert after == {rows[t][0] for t in components(len(rows), links)}
+    prints = [simhash.fingerprint((t or "").encode(), 5, 42) for _, t in rows]
+    assert sum((prints[a] ^ prints[b]).bit_count() > 4 for a, b in links) > len(links) // 2

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from fractions import Fraction
 from math import ceil
 
@@ -69,14 +69,13 @@ def _levels(counts: np.ndarray) -> np.ndarray:
     return np.minimum(np.ceil(4 * np.log2(np.maximum(counts, 1))), 255).astype(np.uint8)
 
 
-def token_levels(docs: DataFrame, text: str) -> np.ndarray:
-    """How common the tokens of each bucket are in all texts. The table has a fixed size, so it can be broadcast."""
+def token_levels(docs: DataFrame, text: str, hashed: Callable[[list[bytes | None]], np.ndarray] = lambda texts: words.hashed_words(b"\n".join([t or b"" for t in texts]).lower())[0]) -> np.ndarray:
+    """How common the tokens (words, or what ``hashed`` makes of texts) of each bucket are in all texts. The table has a fixed size, so it can be broadcast."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(BUCKETS, np.uint32)
         for batch in batches:
-            raw = b"\n".join([t or b"" for t in batch.column(0).to_pylist()]).lower()
-            np.add.at(counts, (words.hashed_words(raw)[0] >> _U(64 - 22)).astype(np.int64), np.uint32(1))
+            np.add.at(counts, (hashed(batch.column(0).to_pylist()) >> _U(64 - 22)).astype(np.int64), np.uint32(1))
         rows = []
         for s in range(BUCKETS // SLICE):
             at = np.flatnonzero(counts[s * SLICE : (s + 1) * SLICE])
@@ -165,14 +164,14 @@ def _pieces(batch: pa.RecordBatch, size: int = 1 << 21) -> Iterator[pa.RecordBat
         yield batch.slice(start)
 
 
-def _open_buckets(opened: DataFrame):
+def _open_buckets(opened: DataFrame, bits: int = 32):
     """The buckets of the open lines' prefix tokens, in a table of fixed size; for later rounds, which only need these lists."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         marked = np.zeros(BUCKETS, bool)
         for batch in batches:
             for p in batch.column(0).to_pylist():
-                marked[np.frombuffer(p, "<u4") >> np.uint32(10)] = True
+                marked[np.frombuffer(p, f"<u{bits // 8}").astype(np.uint64) >> _U(bits - 22)] = True
         at = np.flatnonzero(marked)
         if len(at):
             yield pa.RecordBatch.from_arrays([pa.array(at)], ["bucket"])
@@ -183,10 +182,11 @@ def _open_buckets(opened: DataFrame):
     return out
 
 
-def _candidates(sets: DataFrame, rule: Rule, levels, limit: int | None, parts: int, only=None) -> DataFrame:
+def _candidates(sets: DataFrame, rule: Rule, levels, limit: int | None, parts: int, only=None, bits: int = 32, grouped: bool = False) -> DataFrame:
     """Earlier lines that may match a line that is ``open``: up to ``limit`` from each posting list, the closest signatures first, or all.
 
-    ``more`` tells that a list held further ones. With ``only``, lists outside these buckets are left out.
+    ``more`` tells that a list held further ones. With ``only``, lists outside these buckets are left out. The prefixes' tokens have
+    so many ``bits``. If ``grouped``, ``open`` is a line's group, and lines of one group are not paired.
     """
     shards = 1 << max(3, int(np.ceil(np.log2(max(1, parts)))))
 
@@ -203,15 +203,15 @@ def _candidates(sets: DataFrame, rule: Rule, levels, limit: int | None, parts: i
             if not batch.num_rows:
                 continue
             s1, s2, n, doc, line, open_ = (batch.column(k).to_numpy(zero_copy_only=False) for k in (1, 2, 3, 5, 6, 7))
-            raw = [np.frombuffer(p, "<u4") for p in batch.column(4).to_pylist()]
+            raw = [np.frombuffer(p, f"<u{bits // 8}") for p in batch.column(4).to_pylist()]
             p = np.array([len(x) for x in raw])
             of, token = np.repeat(np.arange(len(raw)), p), np.concatenate(raw).astype(np.uint64)
             place = np.arange(len(of)) - np.repeat(np.cumsum(p) - p, p)
             if only is not None:
-                wanted = only.value[(token >> _U(10)).astype(np.int64)]
+                wanted = only.value[(token >> _U(bits - 22)).astype(np.int64)]
                 of, token, place = of[wanted], token[wanted], place[wanted]
             # How many occurrences the token has at most decides the chunks of its list.
-            chunks = np.ceil(2.0 ** (levels.value[(token >> _U(10)).astype(np.int64)] / 4.0) / LONG).astype(np.int64)
+            chunks = np.ceil(2.0 ** (levels.value[(token >> _U(bits - 22)).astype(np.int64)] / 4.0) / LONG).astype(np.int64)
             own = (words.mixed_hash(s1.view(np.uint64), s2.view(np.uint64))[of] % np.maximum(chunks, 1).astype(np.uint64)).astype(np.int64)
             again = np.repeat(np.arange(len(of)), chunks)
             other = np.arange(len(again)) - np.repeat(np.cumsum(chunks) - chunks, chunks)
@@ -277,7 +277,7 @@ def _candidates(sets: DataFrame, rule: Rule, levels, limit: int | None, parts: i
                 i, j, apart = i[keep], j[keep], apart[keep]
                 later = (doc[i] > doc[j]) | ((doc[i] == doc[j]) & (line[i] > line[j]))
                 a, b = np.where(later, i, j), np.where(later, j, i)
-                keep = open_[a] > 0
+                keep = open_[a] != open_[b] if grouped else open_[a] > 0
                 if keep.any() and limit is None:
                     yield out(a[keep], b[keep], apart[keep], np.zeros(int(keep.sum()), bool))
                 elif keep.any():
