@@ -14,7 +14,7 @@ from tidemark.llm import bpe, linedup, mixing, neartext, quality, queries, share
 
 #: A document is rejected below this chance of a good label.
 QUALITY = 0.3
-#: A line is removed at this Jaccard similarity to an earlier one; lines of fewer different words are left alone.
+#: A line is removed at this Jaccard similarity to an earlier one; lines of fewer words, repeats included, are left alone.
 SIMILAR, LEAST_WORDS = 0.8, 5
 #: Words of a shingle, the Jaccard similarity of near duplicates' shingle sets, and bits that may differ between the first candidates.
 SHINGLE, NEAR, BITS = 5, 0.8, 4

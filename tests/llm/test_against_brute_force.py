@@ -12,6 +12,7 @@ import public_tokenizers
 import pytest
 import tiktoken
 import xxhash
+import zstandard
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -127,6 +128,26 @@ def test_quality(table, answer):
     assert np.mean([[g > b for b in bad] for g in good]) > 0.85
 
 
+def test_quality_learns_from_whole_texts(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(quality, "_dictionary", lambda pieces: seen.append(b"".join(sorted(pieces))) or b"x" * 2000)
+    rows = [(k, "".join(f"{k:03}-{p:03}-".ljust(quality.PIECE, "y") for p in range(40)), k % 2) for k in range(30)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, quality int")
+    quality.learn(df.select("doc_id", "text"), df.select("doc_id", "quality"), df.quality >= 0)
+    for good, made in zip((1, 0), seen):
+        held = [t for _, t, label in rows if label == good and t[: quality.PIECE].encode() in made]
+        assert held and made == "".join(held).encode()
+
+
+def test_quality_dictionary_without_training_is_no_prefix(monkeypatch):
+    def fail(*_):
+        raise zstandard.ZstdError("no dictionary")
+
+    monkeypatch.setattr(zstandard, "train_dictionary", fail)
+    made = quality._dictionary([f"{c}{k:04}".encode().ljust(quality.PIECE, b"-") for c in "abcdefgh" for k in range(100)])
+    assert len(made) == quality.DICTIONARY and all(f"{c}00".encode() in made for c in "abcdefgh")
+
+
 def test_quality_curve_rises():
     rng = np.random.default_rng(2)
     x = rng.normal(size=500)
@@ -316,6 +337,14 @@ def test_line_dedup_goes_on_for_lines_without_a_match(spark, monkeypatch):
     assert all(got.get(d, []) == kept[d] for d, _ in rows)
 
 
+def test_line_dedup_compares_long_lines_of_few_different_words(spark):
+    """Only lines of few words in all are left alone, and no line is compared with those."""
+    rows = [(1, "no no\nno no no no no no no\nsee here"), (2, "no no\nno no no no no\nsee here"), (3, "a b c d a b c d\nno no"), (4, "a b c d\nd c b a a"), (5, "see here\n" * 3)]
+    docs = spark.createDataFrame([(i, t, None, None, 0) for i, t in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    got = {r["doc_id"]: r["text"] for r in corpus_pipeline.line_dedup(spark, docs, SMALL).collect()}
+    assert got == {1: rows[0][1], 2: "no no\nsee here", 3: rows[2][1], 4: "a b c d", 5: rows[4][1]}
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.binary(max_size=60), max_size=6), st.integers(1, 40))
 def test_word_hashes(texts, window):

@@ -123,6 +123,7 @@ def _line_sets(docs: DataFrame, ident: str, text: str, rule: Rule, least: int, l
                     continue
                 new = np.concatenate([[True], line[1:] != line[:-1]])
                 doc, number = batch.column(0).to_numpy(zero_copy_only=False)[place[new]], number[new].astype(np.int32)
+                size = np.diff(np.append(np.flatnonzero(new), len(token)))  # words, repeats included
                 line, token = _ordered(np.cumsum(new) - 1, token, levels.value)
                 first = np.flatnonzero(np.concatenate([[True], line[1:] != line[:-1]]))
                 n = np.diff(np.append(first, len(line)))
@@ -134,11 +135,11 @@ def _line_sets(docs: DataFrame, ident: str, text: str, rule: Rule, least: int, l
                 s1, s2 = np.bitwise_xor.reduceat(np.where(high, bit, zero), first), np.bitwise_xor.reduceat(np.where(high, zero, bit), first)
                 # The first line of each set in its document; a later one is a copy inside the document.
                 order = np.lexsort((number, total, doc))
+                order = order[size[order] >= least]
+                if not len(order):
+                    continue
                 new = np.concatenate([[True], (doc[order][1:] != doc[order][:-1]) | (total[order][1:] != total[order][:-1])])
                 keep = np.sort(order[new])
-                keep = keep[n[keep] >= least]
-                if not len(keep):
-                    continue
                 p = rule.prefix(n[keep])
                 at = np.repeat(first[keep], p) + np.arange(p.sum()) - np.repeat(np.cumsum(p) - p, p)
                 prefix = (token[at] >> _U(32)).astype("<u4")
@@ -348,7 +349,7 @@ def kept_lines(docs: DataFrame, threshold: float = 0.8, least: int = 1, ident: s
 
     A line's tokens are the set of its words, A-Z lower-cased. Lines are in the order of ``ident`` and number; a line is removed if any earlier
     line, of any document and itself removed or not, has a Jaccard similarity of ``threshold`` or more. Documents of which every line with ``least``
-    different words is removed have no row. Lines of fewer words are not compared, and neither are rows of null ``ident`` or text. Rows of
+    words, repeats included, is removed have no row. Lines of fewer words are not compared, and neither are rows of null ``ident`` or text. Rows of
     equal ``ident`` are one document of as many texts: of equal lines at the same number, all stay.
 
     Equal sets meet in a grouped minimum, so copies of a line are never paired. Different sets meet in the posting lists of
@@ -391,7 +392,7 @@ def kept_lines(docs: DataFrame, threshold: float = 0.8, least: int = 1, ident: s
 def deduplicated(docs: DataFrame, threshold: float = 0.8, least: int = 1, ident: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents with the lines that :func:`kept_lines` removes taken out of the text; all else stays as it is.
 
-    Lines without words and lines of fewer than ``least`` different words stay, so a document may keep blank lines only. No document is dropped.
+    Lines without words and lines of fewer than ``least`` words, repeats included, stay, so a document may keep blank lines only. No document is dropped.
     """
     kept = kept_lines(docs, threshold, least, ident, text).select(F.col(ident).cast("bigint").alias("_doc"), "kept")
     joined = docs.join(kept.withColumnRenamed("kept", "_kept"), F.col(ident).cast("bigint") == F.col("_doc"), "left").select(*docs.columns, "_kept")
@@ -403,7 +404,7 @@ def deduplicated(docs: DataFrame, threshold: float = 0.8, least: int = 1, ident:
         for d, t, k in zip(idents, texts, numbers):
             if t and d is not None:
                 stay = set(k or ())
-                t = "\n".join([line for n, line in enumerate(t.split("\n")) if n in stay or len(set(line.encode().lower().split())) < least])
+                t = "\n".join([line for n, line in enumerate(t.split("\n")) if n in stay or len(line.encode().split()) < least])
             out.append(t)
         arrays = [*batch.columns[:-1]]
         arrays[at] = pa.array(out, pa.string())

@@ -6,6 +6,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -16,8 +17,8 @@ from tidemark.llm import ranks, shared, words
 SAMPLE = 3000
 #: Bytes that are compressed at a time. A text is cut into such pieces, so that the dictionary and not the text before it helps.
 PIECE = 256
-#: Pieces of a labelled text, evenly spaced, that a dictionary is built from; its size; and the compression level.
-SPACED, DICTIONARY, LEVEL = 8, 32_768, 3
+#: The size of a dictionary, and the compression level.
+DICTIONARY, LEVEL = 32_768, 3
 #: Bytes added to a text's size, so that the difference of a few bytes says little of a short text.
 SMOOTH = 60
 
@@ -70,8 +71,8 @@ def _differences(rows: DataFrame, good: bytes, bad: bytes, text: str, model: Mod
 
 
 def _dictionary(pieces: list[bytes]) -> bytes:
-    """A dictionary of the distinct pieces; of few pieces, their text itself."""
-    pieces = sorted(set(pieces))
+    """A dictionary of the distinct pieces, in the order of a hash; of few pieces, their text itself."""
+    pieces = sorted(set(pieces), key=lambda p: (xxhash.xxh64_intdigest(p), p))
     try:
         return zstandard.train_dictionary(min(DICTIONARY, max(1024, sum(map(len, pieces)) // 8)), pieces).as_bytes()
     except (zstandard.ZstdError, ValueError):
@@ -100,7 +101,7 @@ def _calibrated(difference: np.ndarray, label: np.ndarray, weight: np.ndarray) -
 def learn(docs: DataFrame, labels: DataFrame, learned: Column, ident: str = "doc_id", text: str = "text", label: str = "quality", sample: int = SAMPLE) -> Model:
     """A model of the labelled rows for which ``learned`` holds.
 
-    The ``sample`` rows of each class that come first by a hash of ``ident`` are learned from: two thirds build the dictionaries, one third
+    The ``sample`` rows of each class that come first by a hash of ``ident`` are learned from, with their whole texts: two thirds build the dictionaries, one third
     calibrates. A row with two different labels counts as the lower. Null labels and labels other than 0 and 1 are not learned from.
     Where a class has no row, every text gets the smoothed share of the other.
     """
@@ -117,17 +118,16 @@ def learn(docs: DataFrame, labels: DataFrame, learned: Column, ident: str = "doc
     found = docs.where(F.col(text).isNotNull()).select(ident, F.col(text).cast("binary").alias("_text"))
     rows = shared.cut(found.join(F.broadcast(chosen), ident).withColumn("_fits", F.pmod(F.xxhash64(F.col("_key")), F.lit(3)) == 0))
 
-    def spaced(batch: pa.RecordBatch) -> pa.RecordBatch:
+    def cut_up(batch: pa.RecordBatch) -> pa.RecordBatch:
         kinds, pieces = [], []
         for t, k in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            n = -(-len(t) // PIECE)
-            for p in sorted({i * n // SPACED for i in range(SPACED)}) if n else ():
+            for at in range(0, len(t), PIECE):
                 kinds.append(k)
-                pieces.append(t[p * PIECE : (p + 1) * PIECE])
+                pieces.append(t[at : at + PIECE])
         return pa.RecordBatch.from_arrays([pa.array(kinds, pa.int32()), pa.array(pieces, pa.binary())], ["kind", "piece"])
 
     pieces: dict[int, list[bytes]] = {0: [], 1: []}
-    for r in words.map_batches(rows.where("not _fits").select("_text", "_label"), spaced, "kind int, piece binary").toLocalIterator():
+    for r in words.map_batches(rows.where("not _fits").select("_text", "_label"), cut_up, "kind int, piece binary").toLocalIterator():
         pieces[r["kind"]].append(bytes(r["piece"]))
     if not pieces[0] or not pieces[1]:
         return Model(b"", b"", *flat)
