@@ -1,19 +1,19 @@
 import os
 import sys
-from datetime import datetime, timedelta, timezone
+from datetime import timedelta
 from pathlib import Path
 
 import pytest
 
 ROOT = Path(__file__).resolve().parent.parent
-sys.path.insert(0, str(ROOT))
+sys.path[:0] = [str(ROOT), str(ROOT / "tests")]
 os.environ["PYTHONPATH"] = f"{ROOT}:{os.environ.get('PYTHONPATH', '')}"
 
+from moments import T0  # noqa: E402
+
 from tidemark import model  # noqa: E402
 from tidemark.session import session  # noqa: E402
 
-T0 = datetime(2024, 1, 1, 12, tzinfo=timezone.utc)
-
 
 @pytest.fixture(scope="session")
 def spark():

@@ -3,7 +3,7 @@ import random
 from datetime import timedelta
 
 import pytest
-from conftest import T0
+from moments import T0
 from pyspark.sql import functions as F
 
 from tidemark.functions import ranges

@@ -1,7 +1,7 @@
 import json
 from datetime import timedelta
 
-from conftest import T0
+from moments import T0
 from pyspark.sql import functions as F
 
 from tidemark.operators import rollup
