@@ -16,6 +16,11 @@ def docs(spark):
 ODD = [(1, None), (2, ""), (3, " \n\t\n "), (4, "a"), (5, "### $$$ |||"), (6, "word " * 30_000), (7, "x" * 60_000), (8, "Ünïcödé 漢字    emoji 😀😀 end"), (9, "a"), (9, "a"), (None, "a b c d e f"), (10, "one two three four five six seven eight nine ten eleven twelve"), (11, "one two three four five six seven eight nine ten eleven twelve")]
 
 
+@pytest.fixture(scope="session")
+def odd_texts():
+    return ODD
+
+
 @pytest.fixture
 def odd(docs):
     return docs(*[(i, t, None, None) for i, t in ODD], extra=", fp string, score string, rank string, copies string, kept string, _row string")

@@ -2,6 +2,7 @@
 
 import hashlib
 
+import duckdb
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -108,3 +109,72 @@ def test_stages(spark, request, which, tmp_path):
         out.write.parquet(str(tmp_path / str(k)))
         rows = spark.read.parquet(str(tmp_path / str(k)))
     assert rows.where("not round_trip").count() == 0
+
+
+@pytest.fixture(scope="module")
+def folders(spark, tmp_path_factory, odd_texts):
+    """The tables of the ten queries: with odd rows, numbers that are null or repeat, and clashing names; and without rows."""
+    top = tmp_path_factory.mktemp("odd")
+    more = [(12, "½ ²", "en", "s"), (13, "Ⅷ ①", None, "s"), (14, "same line here\nother line there\nsame line here", "en", "s"), (14, "same line here\n\n", "en", "s"), (14, "a third text of this number", "de", None), (None, "same line here\nnew words in this line", "en", "s"), (15, "line " * 5 + "\n" + "x" * 70_000, "fr", "t")]
+    rows = [(i, t, "en" if k % 3 else None, f"src{k % 4}") for k, (i, t) in enumerate(odd_texts)] + more
+    docs = spark.createDataFrame([(*r, 0, *"abcdefgh") for r in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint, _doc string, _kept string, _taken string, _text string, fp string, score string, rank string, _row string")
+    tables = {
+        "documents": docs,
+        "labels": spark.createDataFrame([(10, 1, 0), (11, 1, 0), (5, 0, 0), (6, 0, 1), (6, 1, 0), (14, 1, 0), (None, 1, 0), (4, None, None)], "doc_id bigint, quality int, toxic int"),
+        "embeddings": spark.createDataFrame([(1, [1.0, 0.0], 0), (1, [1.0, 0.1], 0), (None, [1.0, 0.0], 0), (2, None, 0), (3, [0.0, 0.0], None)], "vec_id bigint, embedding array<float>, label int"),
+    }
+    for kind, keep in (("odd", "true"), ("none", "false")):
+        for name, df in tables.items():
+            df.where(keep).coalesce(2).write.parquet(f"{top}/{kind}/{name}.parquet")
+    return top
+
+
+@pytest.mark.parametrize("name", sorted(queries.queries()))
+def test_queries(spark, folders, name):
+    """A row for each row, with flags that are never null, and no number below zero but scores."""
+    source = "embeddings" if name.startswith("op2") else "documents"
+    got = queries.queries()[name](spark, f"{folders}/odd").collect()
+    rows = spark.read.parquet(f"{folders}/odd/{source}.parquet").collect()
+    key = "vec_id" if source == "embeddings" else "doc_id"
+    assert sorted(str(r[key]) for r in got) == sorted(str(r[key]) for r in rows)
+    for r in got:
+        found = r.asDict()
+        assert all(found[c] in (True, False) for c in ("held_out", "kept", "base_failed", "ambiguous") if c in found)
+        assert all(found[c] >= 0 for c in found if c.startswith("n_") and found[c] is not None)
+    assert queries.queries()[name](spark, f"{folders}/none").count() == 0
+
+
+def test_language_of_texts_without_letters(spark, folders):
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in queries.op1_language_id(spark, f"{folders}/odd").collect()}
+    assert got[12] == got[13] == got[5] == ("und", 0.0) and got[10][0] == "en"
+
+
+def test_lines_of_repeated_and_null_numbers_are_those_of_the_sql(spark, folders):
+    got = sorted(map(str, (tuple(r) for r in queries.op10_line_dedup(spark, f"{folders}/odd").collect())))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{folders}/odd/documents.parquet/*.parquet'")
+    assert got == sorted(map(str, con.execute(queries.oracle_sql()["op10_line_dedup"]).fetchall()))
+
+
+def test_mixing_gives_nothing_to_weight_0_and_loses_no_budget(docs):
+    rows = [(k, "w " * 10, "en" if k % 2 else "de", "a" if k < 10 else "b") for k in range(20)]
+    levels = {"source": F.col("source"), "lang": F.col("lang")}
+    got = mixing.mixed(docs(*rows), levels, {"source": {"a": 0.8, "b": 0.2}, "lang": {"en": 1.0, "de": 0.0}}, 0.5).collect()
+    taken = {r["doc_id"] for r in got if r["copies"]}
+    assert all(r["lang"] == "en" for r in got if r["copies"]) and len(taken) == 10  # source a has 50 tokens of the 80 wanted; b makes up for it
+
+
+def test_mixing_takes_rows_without_number_one_by_one(spark, docs):
+    rows = docs(*[(None, f"word {'more ' * 8}n{k}", "en", "src0") for k in range(20)], *[(7, "the same text ten times here in all of it", "en", "src0")] * 20)
+    after = corpus_pipeline.mix_sources(spark, rows, "")
+    assert 36 <= after.count() < 40 and after.columns == rows.columns
+
+
+def test_stages_keep_columns_of_any_name(spark, folders, tmp_path):
+    docs = spark.read.parquet(f"{folders}/odd/documents.parquet")
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES[:-1]):
+        out = stage(spark, docs, f"{folders}/odd")
+        assert out.columns == docs.columns
+        out.write.parquet(str(tmp_path / str(k)))
+        docs = spark.read.parquet(str(tmp_path / str(k)))
+    assert docs.count() > 0

@@ -2,26 +2,26 @@
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 from itertools import product
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import words
 
-#: Rows of each language that are learned from, on average: the bound of the sample.
-SAMPLE = 600
+#: Rows of each language that are learned from, on average, and of all languages together: the bound of the sample.
+SAMPLE, SAMPLE_ALL = 600, 6000
 #: Buckets of hashed n-grams; n-grams of two and three bytes.
 BUCKETS = 1 << 13
 #: A language is ambiguous below this score.
 SURE = 0.6
 UNKNOWN = "und"
 
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
 #: Bytes of n-grams: ASCII letters lower-cased, other ASCII as one space, the rest as they are.
 _BYTES = bytes(b if b >= 128 or chr(b).isalpha() else 32 for b in range(256))
 
@@ -108,13 +108,15 @@ def fit(profiles: np.ndarray, target: np.ndarray, languages: list[str]) -> Model
 def learn(docs: DataFrame, learned: Column, ident: str = "doc_id", text: str = "text", lang: str = "lang", sample: int = SAMPLE) -> Model:
     """A model of the rows for which ``learned`` holds and text and language are not null.
 
-    The rows are a sample by a hash of ``ident``, about ``sample`` of each language; their profiles, of fixed size, go to the driver.
+    The rows are a sample by a hash of ``ident``, about ``sample`` of each language and SAMPLE_ALL in all; their profiles, of fixed size, go to the driver.
+    Rows of null ``ident`` are taken or left together.
     """
     rows = docs.where(learned & F.col(lang).isNotNull() & F.col(text).isNotNull())
     counts = {r[0]: r[1] for r in rows.groupBy(lang).count().collect()}  # a row for each language
     languages = sorted(counts)
     if not languages:
         return Model([], np.ones((0, 1)), np.zeros((BUCKETS, 1)), np.ones(1), np.zeros(1), np.ones(1))
+    sample = max(1, min(sample, SAMPLE_ALL // len(languages)))
     portion = F.lit(0.0)
     for name, n in counts.items():
         portion = F.when(F.col(lang) == name, min(1.0, sample / n)).otherwise(portion)

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from fractions import Fraction
-from math import ceil
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -16,17 +16,17 @@ from tidemark.llm import blobs, shared, words
 
 #: Buckets of the table of token counts (a power of two), in slices of SLICE. A token's bucket only decides its place in the order.
 BUCKETS, SLICE = 1 << 22, 1 << 16
-#: A token of more occurrences than this has its posting list cut into chunks that are joined pair by pair.
+#: A posting list that may be longer than this is cut into chunks that are joined pair by pair.
 LONG = 50_000
 #: Pairs that are compared at once, and postings that a worker gathers before it deals them.
-PAIRS, GATHERED = 2_000_000, 1_000_000
-#: Candidates that a line gets from each list, and in all, in the first round. The few lines of which none matches though there were more
-#: get all their candidates in the second, so the result does not depend on it.
-FIRST = 8
-#: So many documents at most are sent to the scan of the texts, to pick out those whose lines are verified.
-FEW = 10_000
-#: Buckets by which documents and lines that hold candidates are told from others.
-MARKS = 1 << 20
+PAIRS, GATHERED = 1_000_000, 500_000
+#: Candidates that a line gets from each list, and in all, in the first round. Lines of which none matches though there were more get MORE times
+#: as many in the next, and so on until there are no more, so the result does not depend on it, and every round's candidates are bounded.
+FIRST, MORE = 8, 64
+#: Lines (or texts) of so many at most are told from others by a bitmap of MARKS bits that is sent to the scan of the texts; more are joined to the texts.
+MARKED, MARKS = 1 << 21, 1 << 25
+#: The numbers of so many documents at most (eight bytes each) are broadcast besides, so that other texts are not handed to Python.
+FEW = 50_000
 
 _U = np.uint64
 
@@ -112,6 +112,14 @@ def _ordered(line: np.ndarray, token: np.ndarray, levels: np.ndarray) -> tuple[n
     return line[new], token[new]
 
 
+def _signature_bits(token: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The bit of a token in the two words of a set's signature, the parity of each bit."""
+    mixed = words.mixed_hash(token, np.full(len(token), 77, np.uint64))
+    bit = _U(1) << (mixed & _U(63))
+    high = (mixed >> _U(6)) & _U(1) == 1
+    return np.where(high, bit, _U(0)), np.where(high, _U(0), bit)
+
+
 def _line_sets(docs: DataFrame, ident: str, text: str, rule: Rule, least: int, levels) -> DataFrame:
     """A row for each different token set of a document: hash, signature, size, prefix, and the first line that has it."""
 
@@ -127,12 +135,8 @@ def _line_sets(docs: DataFrame, ident: str, text: str, rule: Rule, least: int, l
                 line, token = _ordered(np.cumsum(new) - 1, token, levels.value)
                 first = np.flatnonzero(np.concatenate([[True], line[1:] != line[:-1]]))
                 n = np.diff(np.append(first, len(line)))
-                mixed = words.mixed_hash(token, np.full(len(token), 77, np.uint64))
-                total = np.add.reduceat(mixed, first)
-                bit = _U(1) << (mixed & _U(63))
-                high = (mixed >> _U(6)) & _U(1) == 1
-                zero = _U(0)
-                s1, s2 = np.bitwise_xor.reduceat(np.where(high, bit, zero), first), np.bitwise_xor.reduceat(np.where(high, zero, bit), first)
+                total = np.add.reduceat(words.mixed_hash(token, np.full(len(token), 77, np.uint64)), first)
+                s1, s2 = (np.bitwise_xor.reduceat(x, first) for x in _signature_bits(token))
                 # The first line of each set in its document; a later one is a copy inside the document.
                 order = np.lexsort((number, total, doc))
                 order = order[size[order] >= least]
@@ -183,13 +187,18 @@ def _open_buckets(opened: DataFrame, bits: int = 32):
     return out
 
 
-def _candidates(sets: DataFrame, rule: Rule, levels, limit: int | None, parts: int, only=None, bits: int = 32, grouped: bool = False) -> DataFrame:
-    """Earlier lines that may match a line that is ``open``: up to ``limit`` from each posting list, the closest signatures first, or all.
+def _list_lengths(sets: DataFrame, bits: int = 32) -> np.ndarray:
+    """How long the posting lists of each bucket are at most, on the scale of ``_levels``, in a table of fixed size."""
+    return token_levels(sets, "prefix", lambda prefixes: np.frombuffer(b"".join(prefixes), f"<u{bits // 8}").astype(np.uint64) << _U(64 - bits))
+
 
-    ``more`` tells that a list held further ones. With ``only``, lists outside these buckets are left out. The prefixes' tokens have
+def _candidates(sets: DataFrame, rule: Rule, lengths, limit: int, parts: int, only=None, bits: int = 32, grouped: bool = False) -> DataFrame:
+    """Earlier lines that may match a line that is ``open``: up to ``limit`` from each posting list, the closest signatures first.
+
+    ``more`` tells that a list held further ones. ``lengths`` are those of :func:`_list_lengths`. With ``only``, lists outside these buckets are left out. The prefixes' tokens have
     so many ``bits``. If ``grouped``, ``open`` is a line's group, and lines of one group are not paired.
     """
-    shards = 1 << max(3, int(np.ceil(np.log2(max(1, parts)))))
+    shards = 1 << max(3, int(np.ceil(np.log2(max(1, 2 * parts)))))
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -211,8 +220,7 @@ def _candidates(sets: DataFrame, rule: Rule, levels, limit: int | None, parts: i
             if only is not None:
                 wanted = only.value[(token >> _U(bits - 22)).astype(np.int64)]
                 of, token, place = of[wanted], token[wanted], place[wanted]
-            # How many occurrences the token has at most decides the chunks of its list.
-            chunks = np.ceil(2.0 ** (levels.value[(token >> _U(bits - 22)).astype(np.int64)] / 4.0) / LONG).astype(np.int64)
+            chunks = np.ceil(2.0 ** (lengths.value[(token >> _U(bits - 22)).astype(np.int64)] / 4.0) / LONG).astype(np.int64)
             own = (words.mixed_hash(s1.view(np.uint64), s2.view(np.uint64))[of] % np.maximum(chunks, 1).astype(np.uint64)).astype(np.int64)
             again = np.repeat(np.arange(len(of)), chunks)
             other = np.arange(len(again)) - np.repeat(np.cumsum(chunks) - chunks, chunks)
@@ -259,9 +267,8 @@ def _candidates(sets: DataFrame, rule: Rule, levels, limit: int | None, parts: i
         found: list[list[np.ndarray]] = []
 
         def out(a: np.ndarray, b: np.ndarray, apart: np.ndarray, more: np.ndarray) -> pa.RecordBatch:
-            own, other = (pa.array(doc[x]) for x in (a, b))
-            numbers = (pa.array(line[x].astype(np.int32)) for x in (a, b))
-            return pa.RecordBatch.from_arrays([own, next(numbers), other, next(numbers), pa.array(apart.astype(np.int32)), pa.array(more)], ["doc", "line", "doc0", "line0", "apart", "more"])
+            sides = [pa.array(c) for x in (a, b) for c in (doc[x], line[x].astype(np.int32), s1[x].view(np.int64))]
+            return pa.RecordBatch.from_arrays([*sides, pa.array(apart.astype(np.int32)), pa.array(more)], ["doc", "line", "s1", "doc0", "line0", "s10", "apart", "more"])
 
         start = 0
         while start < len(n):
@@ -279,9 +286,8 @@ def _candidates(sets: DataFrame, rule: Rule, levels, limit: int | None, parts: i
                 later = (doc[i] > doc[j]) | ((doc[i] == doc[j]) & (line[i] > line[j]))
                 a, b = np.where(later, i, j), np.where(later, j, i)
                 keep = open_[a] != open_[b] if grouped else open_[a] > 0
-                if keep.any() and limit is None:
-                    yield out(a[keep], b[keep], apart[keep], np.zeros(int(keep.sum()), bool))
-                elif keep.any():
+                keep &= (doc[i] != doc[j]) | (line[i] != line[j])  # lines of equal number in rows of equal ident are not earlier
+                if keep.any():
                     found.append(best(a[keep], b[keep], apart[keep], np.zeros(int(keep.sum()), bool)))
                     if sum(len(f[0]) for f in found) > PAIRS:
                         found = [best(*(np.concatenate(x) for x in zip(*found)))]
@@ -301,7 +307,40 @@ def _candidates(sets: DataFrame, rule: Rule, levels, limit: int | None, parts: i
         return [a[keep], b[keep], apart[keep], more[keep]]
 
     posts = sets.select("h", "s1", "s2", "n", "prefix", "doc", "line", "open").mapInArrow(post, blobs.SCHEMA)
-    return posts.repartition(shards, "shard").sortWithinPartitions("shard").mapInArrow(match, "doc bigint, line int, doc0 bigint, line0 int, apart int, more boolean")
+    return posts.repartition(shards, "shard").sortWithinPartitions("shard").mapInArrow(match, "doc bigint, line int, s1 bigint, doc0 bigint, line0 int, s10 bigint, apart int, more boolean")
+
+
+def bitmap(marks: DataFrame) -> np.ndarray:
+    """The bits of the column of whole numbers below MARKS, eight in a byte; put together on the executors, so that the driver gets as many bytes as the bitmap has."""
+    size = MARKS // 32
+
+    def rows(found: dict[int, np.ndarray]) -> Iterator[pa.RecordBatch]:
+        if found:
+            yield blobs.record_batch([("bits", s, zstandard.ZstdCompressor(level=1).compress(bits.tobytes())) for s, bits in found.items()])
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros(MARKS, bool)
+        for batch in batches:
+            held[batch.column(0).to_numpy(zero_copy_only=False)] = True
+        yield from rows({s: np.packbits(part) for s in range(32) if (part := held[s * size : (s + 1) * size]).any()})
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for s, data in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                bits = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
+                found[s] = found[s] | bits if s in found else bits
+        yield from rows(found)
+
+    out = np.zeros(MARKS // 8, np.uint8)
+    for r in marks.mapInArrow(mark, blobs.SCHEMA).repartition(16, "shard").mapInArrow(add, blobs.SCHEMA).toLocalIterator():
+        at = r["shard"] * size // 8
+        out[at : at + size // 8] = np.frombuffer(zstandard.ZstdDecompressor().decompress(bytes(r["data"])), np.uint8)
+    return out
+
+
+def marked(bits: np.ndarray, marks: np.ndarray) -> np.ndarray:
+    return bits[marks >> 3] >> (7 - (marks & 7)).astype(np.uint8) & 1 > 0
 
 
 def _mark(doc: F.Column, line: F.Column) -> F.Column:
@@ -309,39 +348,49 @@ def _mark(doc: F.Column, line: F.Column) -> F.Column:
 
 
 def _tokens(docs: DataFrame, ident: str, text: str, wanted: DataFrame) -> DataFrame:
-    """The token sets of the lines ``wanted`` (and of some others), from one more pass over the texts.
+    """The token sets of the lines ``wanted`` (and perhaps of some others), told by place and signature, from one more pass over the texts.
 
-    Lines are told by their bucket of MARKS, of which at most so many go to the driver and back.
+    Up to MARKED lines are found by a bitmap of fixed size; more are joined to the texts of their documents.
     """
-    marked = np.zeros(MARKS, bool)
-    marked[[r[0] for r in wanted.select(_mark(F.col("doc"), F.col("line")).alias("m")).distinct().toLocalIterator()]] = True
-    held = docs.sparkSession.sparkContext.broadcast(marked)
+    rows = docs.where(F.col(ident).isNotNull() & F.col(text).isNotNull()).select(F.col(ident).cast("bigint").alias("_doc"), F.col(text).cast("binary").alias("_text"))
+    few = wanted.limit(MARKED + 1).count() <= MARKED
+    if few:
+        held = docs.sparkSession.sparkContext.broadcast(bitmap(wanted.select(_mark(F.col("doc"), F.col("line")).alias("m"))))
+        own = wanted.select(F.col("doc").alias("_doc")).distinct()
+        if own.limit(FEW + 1).count() <= FEW:
+            rows = rows.join(F.broadcast(own), "_doc", "left_semi")
+    else:
+        rows = rows.join(wanted.groupBy(F.col("doc").alias("_doc")).agg(F.collect_list("line").alias("_lines")), "_doc")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             doc, number, chosen = [], [], []
-            for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                hit = np.flatnonzero(held.value[(d % MARKS * 1009 + np.arange(t.count(b"\n") + 1)) % MARKS])
+            places = [None] * batch.num_rows if few else batch.column(2).to_pylist()
+            for d, t, hit in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), places):
+                if few:
+                    hit = np.flatnonzero(marked(held.value, (d % MARKS * 1009 + np.arange(t.count(b"\n") + 1)) % MARKS)).tolist()
                 if len(hit):
                     lines = t.split(b"\n")
+                    hit = [k for k in hit if k < len(lines)]
                     doc += [d] * len(hit)
-                    number += hit.tolist()
-                    chosen += [lines[k] for k in hit.tolist()]
+                    number += hit
+                    chosen += [lines[k] for k in hit]
             if doc:
                 token, line, _, _ = scanned(chosen)
                 order = np.lexsort((token, line))
                 token, line = token[order], line[order]
                 new = np.concatenate([[True], (line[1:] != line[:-1]) | (token[1:] != token[:-1])])[: len(token)]
                 token, line = token[new], line[new]
-                offsets = np.concatenate([[0], np.cumsum(np.bincount(line, minlength=len(doc)))]).astype(np.int32)
+                n = np.bincount(line, minlength=len(doc))
+                first = np.cumsum(n) - n
+                s1 = np.zeros(len(doc), np.uint64)
+                if len(token):
+                    s1[n > 0] = np.bitwise_xor.reduceat(_signature_bits(token)[0], first[n > 0])
+                offsets = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
                 sets = pa.ListArray.from_arrays(pa.array(offsets), pa.array(token.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(number, pa.int32()), sets], ["doc", "line", "tokens"])
+                yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(number, pa.int32()), pa.array(s1.view(np.int64)), sets], ["doc", "line", "s1", "tokens"])
 
-    rows = docs.where(F.col(ident).isNotNull() & F.col(text).isNotNull()).select(F.col(ident).cast("bigint").alias("_doc"), F.col(text).cast("binary").alias("_text"))
-    few = wanted.select(F.col("doc").alias("_doc")).distinct().limit(FEW + 1)
-    if few.count() <= FEW:
-        rows = rows.join(F.broadcast(few), "_doc", "left_semi")
-    return rows.mapInArrow(run, "doc bigint, line int, tokens array<bigint>")
+    return rows.mapInArrow(run, "doc bigint, line int, s1 bigint, tokens array<bigint>")
 
 
 def kept_lines(docs: DataFrame, threshold: float = 0.8, least: int = 1, ident: str = "doc_id", text: str = "text") -> DataFrame:
@@ -349,44 +398,45 @@ def kept_lines(docs: DataFrame, threshold: float = 0.8, least: int = 1, ident: s
 
     A line's tokens are the set of its words, A-Z lower-cased. Lines are in the order of ``ident`` and number; a line is removed if any earlier
     line, of any document and itself removed or not, has a Jaccard similarity of ``threshold`` or more. Documents of which every line with ``least``
-    words, repeats included, is removed have no row. Lines of fewer words are not compared, and neither are rows of null ``ident`` or text. Rows of
-    equal ``ident`` are one document of as many texts: of equal lines at the same number, all stay.
+    words, repeats included, is removed have no row. Lines of fewer words are not compared, and neither are rows of null ``ident`` or text.
+    Lines of equal number in rows of equal ``ident`` are not earlier than one another; rows of equal ``ident`` share one row of the result, with
+    every number whose line stays in one of them. An empty table gives an empty table.
 
     Equal sets meet in a grouped minimum, so copies of a line are never paired. Different sets meet in the posting lists of
     their prefix tokens, are filtered there, and the closest candidates of each line are verified on the sets themselves. The
-    lines without a verified match that had more candidates have all of them verified in a second round.
+    lines without a verified match that had more candidates go into another round with more.
     """
     spark, rule = docs.sparkSession, Rule(threshold)
     shared.ready_workers(spark)
     held = spark.sparkContext.broadcast(token_levels(docs, text))
     parts = docs.rdd.getNumPartitions()
-    sets = _line_sets(docs, ident, text, rule, least, held).groupBy("h", "s1", "s2", "n", "prefix").agg(F.min("doc").alias("doc"), F.min_by("line", "doc").alias("line"))
-    sets = shared.cut(sets)
-    opened, matched, only = sets.withColumn("open", F.lit(True)), None, None
-    for limit in (FIRST, None):
-        pairs = _candidates(opened, rule, held, limit, parts, only).groupBy("doc", "line", "doc0", "line0").agg(F.min("apart").alias("apart"), F.max("more").alias("more"))
-        ranked = W.partitionBy("doc", "line").orderBy("apart", "doc0", "line0")
-        whole = W.partitionBy("doc", "line")
-        if limit:
-            pairs = pairs.withColumns({"rank": F.row_number().over(ranked), "size": F.count(F.lit(1)).over(whole), "more": F.max("more").over(whole)})
-            pairs = pairs.where(F.col("rank") <= limit).withColumn("more", F.col("more") | (F.col("size") > limit))
-        pairs = shared.cut(pairs.select("doc", "line", "doc0", "line0", "more"))
-        wanted = pairs.select("doc", "line").union(pairs.select(F.col("doc0").alias("doc"), F.col("line0").alias("line")))
-        tokens = shared.cut(_tokens(docs, ident, text, wanted).dropDuplicates(["doc", "line"]))
-        own, earlier = tokens.withColumnRenamed("tokens", "a"), tokens.select(F.col("doc").alias("doc0"), F.col("line").alias("line0"), F.col("tokens").alias("b"))
+    sets = _line_sets(docs, ident, text, rule, least, held).groupBy("h", "s1", "s2", "n", "prefix").agg(F.min(F.struct("doc", "line")).alias("_at"))
+    sets = shared.cut(sets.select("h", "s1", "s2", "n", "prefix", "_at.doc", "_at.line"))
+    lengths = spark.sparkContext.broadcast(_list_lengths(sets))
+    opened, matched, only, limit = sets.withColumn("open", F.lit(True)), None, None, FIRST
+    own, earlier = ["doc", "line", "s1"], ["doc0", "line0", "s10"]
+    while True:
+        pairs = _candidates(opened, rule, lengths, limit, parts, only).groupBy(*own, *earlier).agg(F.min("apart").alias("apart"), F.max("more").alias("more"))
+        whole = W.partitionBy(*own)
+        pairs = pairs.withColumns({"rank": F.row_number().over(whole.orderBy("apart", *earlier)), "size": F.count(F.lit(1)).over(whole), "more": F.max("more").over(whole)})
+        pairs = pairs.where(F.col("rank") <= limit).withColumn("more", F.col("more") | (F.col("size") > limit))
+        pairs = shared.cut(pairs.select(*own, *earlier, "more"))
+        wanted = shared.cut(pairs.select("doc", "line").union(pairs.select(F.col("doc0").alias("doc"), F.col("line0").alias("line"))).distinct())
+        tokens = shared.cut(_tokens(docs, ident, text, wanted).dropDuplicates(own))
+        a, b = tokens.withColumnRenamed("tokens", "a"), tokens.select(*(F.col(x).alias(y) for x, y in zip(own, earlier)), F.col("tokens").alias("b"))
         both = F.size(F.array_intersect("a", "b"))
         similar = both * rule.t.denominator >= (F.size("a") + F.size("b") - both) * rule.t.numerator
-        judged = pairs.join(own, ["doc", "line"]).join(earlier, ["doc0", "line0"]).groupBy("doc", "line").agg(F.max(similar).alias("similar"), F.max("more").alias("more"))
-        judged = shared.cut(judged)
-        hit = judged.where("similar").select("doc", "line")
+        judged = shared.cut(pairs.join(a, own).join(b, earlier).groupBy(*own).agg(F.max(similar).alias("similar"), F.max("more").alias("more")))
+        hit = judged.where("similar").select(*own)
         matched = hit if matched is None else matched.union(hit)
-        left = judged.where("more and not similar").select("doc", "line")
-        if limit is None or left.isEmpty():
+        left = judged.where("more and not similar").select(*own)
+        if left.isEmpty():
             break
-        opened = sets.join(left.withColumn("open", F.lit(True)), ["doc", "line"], "left").withColumn("open", F.coalesce("open", F.lit(False)))
+        limit *= MORE
+        opened = sets.join(left.withColumn("open", F.lit(True)), own, "left").withColumn("open", F.coalesce("open", F.lit(False)))
         only = spark.sparkContext.broadcast(_open_buckets(opened))
-    kept = sets.select("doc", "line").join(matched, ["doc", "line"], "left_anti")
-    return kept.groupBy(F.col("doc").alias(ident)).agg(F.sort_array(F.collect_list("line")).alias("kept"))
+    kept = sets.select(*own).join(matched, own, "left_anti")
+    return kept.groupBy(F.col("doc").alias(ident)).agg(F.array_sort(F.collect_set("line")).alias("kept"))
 
 
 def deduplicated(docs: DataFrame, threshold: float = 0.8, least: int = 1, ident: str = "doc_id", text: str = "text") -> DataFrame:
@@ -394,8 +444,9 @@ def deduplicated(docs: DataFrame, threshold: float = 0.8, least: int = 1, ident:
 
     Lines without words and lines of fewer than ``least`` words, repeats included, stay, so a document may keep blank lines only. No document is dropped.
     """
-    kept = kept_lines(docs, threshold, least, ident, text).select(F.col(ident).cast("bigint").alias("_doc"), "kept")
-    joined = docs.join(kept.withColumnRenamed("kept", "_kept"), F.col(ident).cast("bigint") == F.col("_doc"), "left").select(*docs.columns, "_kept")
+    number, stay_here = (shared.fresh(docs.columns, c) for c in ("_doc", "_kept"))
+    kept = kept_lines(docs, threshold, least, ident, text).select(F.col(ident).cast("bigint").alias(number), F.col("kept").alias(stay_here))
+    joined = docs.join(kept, F.col(ident).cast("bigint") == F.col(number), "left").select(*docs.columns, stay_here)
     at, names, kinds = docs.columns.index(text), docs.columns, dict(docs.dtypes)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:

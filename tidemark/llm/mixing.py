@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidemark.llm import ranks
+from tidemark.llm import ranks, shared
 
 #: Parts into which a leaf's rows are dealt to meet the leaf's budget.
 SALTS = 64
@@ -55,10 +55,13 @@ def leaf_budgets(leaves: DataFrame, levels: list[str], weights: dict[str, dict[s
     """Adds ``budget`` (whole tokens) to the leaves, which have the levels' keys and ``tokens``.
 
     The root gets ``share`` of all tokens there are. From the root down, each node shares its budget among its children by
-    weight; a child can take ``epochs`` times the tokens below it, and what it cannot take goes to its siblings. A node never gets more
+    weight; a child can take ``epochs`` times the tokens of the leaves below it without a weight of 0 on their path, and what it cannot take goes to its siblings. A node never gets more
     than its children can take together, so a shortage leaves for the parent's siblings only when all siblings are full.
     """
-    tree = leaves.withColumn("_cap0", F.col("tokens") * epochs)
+    able = F.lit(True)
+    for level in levels:
+        able = able & (_weight(level, weights.get(level, {}), default) > 0)
+    tree = leaves.withColumn("_cap0", F.when(able, F.col("tokens") * epochs).otherwise(0).cast("bigint"))
     total = W.partitionBy()
     tree = tree.withColumn("_share0", F.floor(F.sum("tokens").over(total) * F.lit(float(share))).cast("double"))
     for depth, level in enumerate(levels):
@@ -86,6 +89,7 @@ def mixed(rows: DataFrame, levels: dict[str, Column], weights: dict[str, dict[st
         rows.select(F.struct(*own).alias("_row"), F.col(ident).alias("_ident"), *(F.col(t).alias(f"_tie{i}") for i, t in enumerate(ties)), (word_count() if tokens is None else F.coalesce(tokens, F.lit(0))).cast("bigint").alias("tokens"), *(F.coalesce(F.concat(F.lit("="), c.cast("string")), F.lit("")).alias(n) for n, c in zip(names, levels.values(), strict=True)))
         .withColumn("_leaf", F.concat_ws("\u001f", *names))
     )
+    slim = shared.cut(slim)  # the rows' words are counted once; the steps below read what is written here
     leaves = slim.groupBy("_leaf", *names).agg(F.sum("tokens").alias("tokens"))
     plan = leaf_budgets(leaves.drop("_leaf"), names, {n: weights.get(k, {}) for n, k in zip(names, levels, strict=True)}, share, epochs, default)
     plan = plan.select(

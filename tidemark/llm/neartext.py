@@ -11,10 +11,8 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import graph, linedup, shared, simhash, words
 
-#: Candidates that a text gets from each posting list in the join's first round; the second takes all between texts not yet in one group.
-FIRST = 8
-#: Buckets by which the texts that are verified are told from others.
-MARKS = 1 << 20
+#: Candidates that a text gets from each posting list in the join's first round; each further one takes MORE times as many, between texts not yet in one group.
+FIRST, MORE = 8, 64
 
 _U = np.uint64
 
@@ -66,15 +64,15 @@ def _sets(docs: DataFrame, ident: str, text: str, shingle: int, rule: linedup.Ru
 
 def _verified(docs: DataFrame, ident: str, text: str, shingle: int, rule: linedup.Rule, pairs: DataFrame) -> DataFrame:
     """Of the ``pairs`` (a, b), those whose sets have the similarity, from one more pass over the texts."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc")).distinct()
-    marked = np.zeros(MARKS, bool)
-    marked[[r[0] for r in wanted.select(F.pmod("doc", F.lit(MARKS)).alias("m")).distinct().toLocalIterator()]] = True
-    held = docs.sparkSession.sparkContext.broadcast(marked)
+    wanted = shared.cut(pairs.select(F.explode(F.array("a", "b")).alias("doc")).distinct())
+    few = wanted.limit(linedup.MARKED + 1).count() <= linedup.MARKED
+    held = docs.sparkSession.sparkContext.broadcast(linedup.bitmap(wanted.select(F.pmod("doc", F.lit(linedup.MARKS)).alias("m"))) if few else None)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            hit = held.value[whole.column(0).to_numpy(zero_copy_only=False) % MARKS]
-            for batch in linedup._pieces(whole.filter(pa.array(hit))):
+            if few:
+                whole = whole.filter(pa.array(linedup.marked(held.value, whole.column(0).to_numpy(zero_copy_only=False) % linedup.MARKS)))
+            for batch in linedup._pieces(whole):
                 token, place = shingles(batch.column(1).to_pylist(), shingle)
                 order = np.lexsort((token, place))
                 token, place = token[order], place[order]
@@ -82,7 +80,11 @@ def _verified(docs: DataFrame, ident: str, text: str, shingle: int, rule: linedu
                 offsets = np.concatenate([[0], np.cumsum(np.bincount(place[new], minlength=batch.num_rows))]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(token[new].view(np.int64)))], ["doc", "tokens"])
 
-    tokens = shared.cut(_numbered(docs, ident, text).mapInArrow(run, "doc bigint, tokens array<bigint>").join(wanted, "doc", "left_semi"))
+    rows = _numbered(docs, ident, text)
+    # Few texts are picked out in the scan by a bitmap of fixed size; of more, whole texts meet their numbers in a join.
+    rows = rows if few else rows.join(wanted, "doc", "left_semi")
+    tokens = rows.mapInArrow(run, "doc bigint, tokens array<bigint>")
+    tokens = shared.cut((tokens.join(wanted, "doc", "left_semi") if few else tokens).dropDuplicates(["doc"]))
     own, other = (tokens.select(F.col("doc").alias(c), F.col("tokens").alias(f"_{c}")) for c in ("a", "b"))
     both = F.size(F.array_intersect("_a", "_b"))
     similar = both * rule.t.denominator >= (F.size("_a") + F.size("_b") - both) * rule.t.numerator
@@ -93,8 +95,9 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, ident: str = "doc_i
     """``ident`` and ``component_id``, the smallest ``ident`` reachable by shingle sets of a Jaccard similarity of ``threshold`` or more.
 
     Equal sets are one class, and so are texts without words. Classes are paired by fingerprints within ``budget`` bits first, which takes few pairs of a large
-    group; then by the rare shingles that any similar pair shares, which finds every other pair. Each pair is verified on the sets. The join's last round leaves
-    out pairs that are in one group already. Rows of null ``ident`` have no row; rows of equal ``ident`` are to have equal texts.
+    group; then by the rare shingles that any similar pair shares, which finds every other pair. Each pair is verified on the sets. Further rounds leave
+    out pairs that are in one group already, and a posting list gives each text FIRST candidates, then ever more. Rows of null ``ident`` have no row; of rows of equal
+    ``ident`` with different texts, each belongs to its own class, and one of them is verified for all.
     """
     spark, rule = docs.sparkSession, linedup.Rule(threshold)
     shared.ready_workers(spark)
@@ -108,17 +111,19 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, ident: str = "doc_i
     equal = prints.join(distinct, "fp").where("doc > rep").select(F.col("doc").alias("a"), F.col("rep").alias("b"))
     near = simhash.hamming_links(distinct, budget, distinct.count()).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     links = shared.cut(_verified(docs, ident, text, shingle, rule, shared.cut(equal.union(near).distinct())))
-    lists, only = sets.where("n > 0").withColumn("s2", F.lit(0).cast("bigint")).withColumn("line", F.lit(0)), None
-    for limit in (FIRST, None):
+    lists, only, limit = sets.where("n > 0").withColumn("s2", F.lit(0).cast("bigint")).withColumn("line", F.lit(0)), None, FIRST
+    lengths = spark.sparkContext.broadcast(linedup._list_lengths(lists, 64))
+    while True:
         groups = graph.components(links, "a", "b")
         grouped = lists.join(groups, F.col("doc") == F.col("node"), "left").withColumn("open", F.coalesce("component", "doc"))
-        pairs = linedup._candidates(grouped, rule, held, limit, parts, only, bits=64, grouped=True)
+        pairs = linedup._candidates(grouped, rule, lengths, limit, parts, only, bits=64, grouped=True)
         pairs = shared.cut(pairs.groupBy(F.col("doc").alias("a"), F.col("doc0").alias("b")).agg(F.max("more").alias("more")))
         if not pairs.isEmpty():
             links = shared.cut(links.union(_verified(docs, ident, text, shingle, rule, pairs.select("a", "b"))))
         left = pairs.where("more").select(F.col("a").alias("doc")).distinct()
-        if limit is None or left.isEmpty():
+        if left.isEmpty():
             break
+        limit *= MORE
         only = spark.sparkContext.broadcast(linedup._open_buckets(lists.join(left, "doc", "left_semi").withColumn("open", F.lit(True)), bits=64))
     groups = graph.components(links, "a", "b")
     classes = sets.join(groups, F.col("doc") == F.col("node"), "left").select("h", "n", F.coalesce("component", "doc").alias("component_id"))

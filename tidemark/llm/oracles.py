@@ -62,13 +62,15 @@ def mixing(domains: Mapping[str, list[int]], weights: Mapping[str, Mapping[str,
 
 def line_dedup(parts: int = 4, of: int = 5) -> str:
     """Lines that no earlier line matches at a Jaccard similarity of ``parts`` in ``of``; pairs meet at the rarest tokens, as any match shares one of these."""
-    return f"""WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
-    l AS (SELECT doc_id, n - 1 AS n, list_distinct(regexp_extract_all({_LOWER.format('lines[n]')}, '{_WORD}')) AS t FROM (SELECT doc_id, lines, unnest(range(1, len(lines) + 1)) AS n FROM d)),
-    w AS (SELECT *, row_number() OVER (ORDER BY doc_id, n) AS i, len(t) AS size FROM l WHERE len(t) > 0),
-    u AS (SELECT i, size, unnest(t) AS tok FROM w), df AS (SELECT tok, count(*) AS c FROM u GROUP BY tok),
-    r AS (SELECT i, size, tok, row_number() OVER (PARTITION BY i ORDER BY c, tok) AS p FROM u JOIN df USING (tok)),
-    x AS (SELECT i, size, tok FROM r WHERE p <= size - (size * {parts} + {of - 1}) // {of} + 1),
-    m AS (SELECT DISTINCT a.i AS i, b.i AS j FROM x a JOIN x b ON a.tok = b.tok AND b.i < a.i AND b.size * {parts} <= a.size * {of} AND a.size * {parts} <= b.size * {of}),
+    return f"""WITH d AS (SELECT row_number() OVER () AS k, doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+    l AS (SELECT k, doc_id, n - 1 AS n, list_distinct(regexp_extract_all({_LOWER.format('lines[n]')}, '{_WORD}')) AS t FROM (SELECT k, doc_id, lines, unnest(range(1, len(lines) + 1)) AS n FROM d)),
+    w AS (SELECT *, row_number() OVER (ORDER BY doc_id, n, k) AS i, len(t) AS size FROM l WHERE len(t) > 0),
+    u AS (SELECT i, doc_id, n, size, unnest(t) AS tok FROM w WHERE doc_id IS NOT NULL), df AS (SELECT tok, count(*) AS c FROM u GROUP BY tok),
+    r AS (SELECT i, doc_id, n, size, tok, row_number() OVER (PARTITION BY i ORDER BY c, tok) AS p FROM u JOIN df USING (tok)),
+    x AS (SELECT i, doc_id, n, size, tok FROM r WHERE p <= size - (size * {parts} + {of - 1}) // {of} + 1),
+    m AS (SELECT DISTINCT a.i AS i, b.i AS j FROM x a JOIN x b ON a.tok = b.tok AND (b.doc_id < a.doc_id OR b.doc_id = a.doc_id AND b.n < a.n) AND b.size * {parts} <= a.size * {of} AND a.size * {parts} <= b.size * {of}),
     gone AS (SELECT DISTINCT m.i FROM m JOIN w a ON a.i = m.i JOIN w b ON b.i = m.j WHERE len(list_intersect(a.t, b.t)) * {of} >= (a.size + b.size - len(list_intersect(a.t, b.t))) * {parts}),
-    k AS (SELECT doc_id, count(*) AS n_lines, count(*) FILTER (i NOT IN (SELECT i FROM gone)) AS n_kept, string_agg(CAST(n AS VARCHAR), ',' ORDER BY n) FILTER (i NOT IN (SELECT i FROM gone)) AS kept FROM w GROUP BY doc_id)
-    SELECT doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_kept, 0) AS n_kept, coalesce(n_lines - n_kept, 0) AS n_removed, coalesce(kept, '') AS kept_lines FROM documents LEFT JOIN k USING (doc_id)"""
+    stays AS (SELECT DISTINCT doc_id, n FROM w WHERE doc_id IS NOT NULL AND i NOT IN (SELECT i FROM gone)),
+    f AS (SELECT w.k, w.n, w.doc_id IS NULL OR s.n IS NOT NULL AS stay FROM w LEFT JOIN stays s ON w.doc_id = s.doc_id AND w.n = s.n),
+    g AS (SELECT k, count(*) AS n_lines, count(*) FILTER (stay) AS n_kept, string_agg(CAST(n AS VARCHAR), ',' ORDER BY n) FILTER (stay) AS kept FROM f GROUP BY k)
+    SELECT doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_kept, 0) AS n_kept, coalesce(n_lines - n_kept, 0) AS n_removed, coalesce(kept, '') AS kept_lines FROM d LEFT JOIN g USING (k)"""

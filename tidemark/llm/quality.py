@@ -53,12 +53,12 @@ class Compressors:
         return total / (len(text) + SMOOTH)
 
 
-def _differences(rows: DataFrame, good: bytes, bad: bytes, text: str, model: Model | None = None, whole: bool = False) -> DataFrame:
+def _differences(rows: DataFrame, good: bytes, bad: bytes, text: str, model: Model | None = None, whole: bool = False, called: tuple[str, str] = ("difference", "score")) -> DataFrame:
     """The rows with ``difference``, and ``score`` where there is a model, in place of the text; or beside it, if they are to be ``whole``."""
     held = rows.sparkSession.sparkContext.broadcast((good, bad, model))
     keep, kinds = [c for c in rows.columns if c != text], dict(rows.dtypes)
     names = [*([text] if whole else []), *keep]
-    out = ["difference", "score"] if model else ["difference"]
+    out = list(called if model else called[:1])
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         *files, curve = held.value
@@ -67,7 +67,7 @@ def _differences(rows: DataFrame, good: bytes, bad: bytes, text: str, model: Mod
         given = [batch.column(0).view(pa.string())] if whole else []
         return pa.RecordBatch.from_arrays([*given, *batch.columns[1:], pa.array(found), *([pa.array(curve.score(found))] if curve else [])], [*names, *out])
 
-    return words.map_batches(rows.select(F.col(text).cast("binary").alias("_text"), *keep), run, ", ".join([*(f"`{c}` {kinds[c]}" for c in names), *(f"{c} double" for c in out)]))
+    return words.map_batches(rows.select(F.col(text).cast("binary").alias(shared.fresh(keep, "_text")), *keep), run, ", ".join([*(f"`{c}` {kinds[c]}" for c in names), *(f"`{c}` double" for c in out)]))
 
 
 def _dictionary(pieces: list[bytes]) -> bytes:
@@ -102,7 +102,7 @@ def learn(docs: DataFrame, labels: DataFrame, learned: Column, ident: str = "doc
     """A model of the labelled rows for which ``learned`` holds.
 
     The ``sample`` rows of each class that come first by a hash of ``ident`` are learned from, with their whole texts: two thirds build the dictionaries, one third
-    calibrates. A row with two different labels counts as the lower. Null labels and labels other than 0 and 1 are not learned from.
+    calibrates. Of rows of equal ``ident``, the one of the least text is learned from. A row with two different labels counts as the lower. Null labels and labels other than 0 and 1 are not learned from.
     Where a class has no row, every text gets the smoothed share of the other.
     """
     spark = docs.sparkSession
@@ -116,7 +116,8 @@ def learn(docs: DataFrame, labels: DataFrame, learned: Column, ident: str = "doc
     chosen = keyed.where("_label = 1").orderBy("_key").limit(sample).union(keyed.where("_label = 0").orderBy("_key").limit(sample))
     # 2 * sample rows at most, so they can be broadcast; the texts are met in the scan, without a shuffle.
     found = docs.where(F.col(text).isNotNull()).select(ident, F.col(text).cast("binary").alias("_text"))
-    rows = shared.cut(found.join(F.broadcast(chosen), ident).withColumn("_fits", F.pmod(F.xxhash64(F.col("_key")), F.lit(3)) == 0))
+    rows = found.join(F.broadcast(chosen), ident).groupBy(ident, "_label", "_key").agg(F.min("_text").alias("_text"))  # of rows of equal ident, one is learned from
+    rows = shared.cut(rows.withColumn("_fits", F.pmod(F.xxhash64(F.col("_key")), F.lit(3)) == 0))
 
     def cut_up(batch: pa.RecordBatch) -> pa.RecordBatch:
         kinds, pieces = [], []
@@ -140,11 +141,11 @@ def learn(docs: DataFrame, labels: DataFrame, learned: Column, ident: str = "doc
     return Model(good_file, bad_file, *_calibrated(np.array([r["difference"] for r in got]), y, share))
 
 
-def scored(docs: DataFrame, model: Model, threshold: float = 0.3, text: str = "text", whole: bool = False) -> DataFrame:
+def scored(docs: DataFrame, model: Model, threshold: float = 0.3, text: str = "text", whole: bool = False, called: tuple[str, str, str] = ("difference", "score", "predicted")) -> DataFrame:
     """The rows, without their text unless they are to be ``whole``, with ``difference``, ``score`` (the chance of label 1) and ``predicted`` (1 if score >= threshold).
 
-    A null text is scored like an empty one, whose difference is 0. Columns of the results' names are replaced.
+    A null text is scored like an empty one, whose difference is 0. The results have the names ``called``; columns of these names are replaced.
     """
-    kept = [c for c in docs.columns if c not in ("difference", "score", "predicted")]
-    found = _differences(docs.select(*kept), model.good, model.bad, text, model, whole)
-    return found.withColumn("predicted", F.when(F.col("score") >= threshold, 1).otherwise(0))
+    difference, score, predicted = called
+    found = _differences(docs.select(*(c for c in docs.columns if c not in called)), model.good, model.bad, text, model, whole, (difference, score))
+    return found.withColumn(predicted, F.when(F.col(score) >= threshold, 1).otherwise(0))

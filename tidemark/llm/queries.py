@@ -15,6 +15,8 @@ DOMAINS = {"web": [0], "books": [1, 2, 3, 4], "news": [5, 6, 7, 8, 9], "forums":
 WEIGHTS = {"domain": {"web": 0.35, "books": 0.25, "news": 0.25, "forums": 0.15}, "lang": {"en": 0.5, "de": 0.2, "fr": 0.2, "es": 0.1}}
 OTHER = 0.05
 SHARE, EPOCHS = 0.6, 2
+#: Words of the language model's n-grams.
+ORDER = 2
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,11 +40,16 @@ def fold(n: int):
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % n
 
 
+def held_out(n: int):
+    """Whether the remainder is 0; false for a document without number, from which nothing is learned either."""
+    return F.coalesce(fold(n) == 0, F.lit(False)).alias("held_out")
+
+
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of every document, learned from four folds of five."""
     docs = table(spark, sf_dir, "documents")
     found = langid.predict(docs, langid.learn(docs, fold(5) != 0))
-    return found.select("doc_id", (fold(5) == 0).alias("held_out"), "lang_pred", "score", "ambiguous", "runner_up")
+    return found.select("doc_id", held_out(5), "lang_pred", "score", "ambiguous", "runner_up")
 
 
 def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,7 +62,7 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = quality.learn(docs, table(spark, sf_dir, "labels"), fold(5) != 0)
     found = quality.scored(docs.select("doc_id", "text"), model, 0.3)
-    return found.select("doc_id", (fold(5) == 0).alias("held_out"), "score", "predicted", "difference")
+    return found.select("doc_id", held_out(5), "score", "predicted", "difference")
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,8 +85,8 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Log probabilities of every document under a model of nine folds of ten."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    found = kneser_ney.scored(docs, kneser_ney.train(docs, fold(10) != 0, order=2))
-    return found.select("doc_id", (fold(10) == 0).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity")
+    found = kneser_ney.scored(docs, kneser_ney.train(docs, fold(10) != 0, order=ORDER))
+    return found.select("doc_id", held_out(10), "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity")
 
 
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -98,13 +105,19 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines of every document that match no earlier line at a Jaccard similarity of 0.8."""
+    """Lines of every document that match no earlier line at a Jaccard similarity of 0.8.
+
+    ``kept_lines`` are the numbers of those of a row's lines with a word that stay; ``n_removed`` counts the others. All lines of a row without number
+    stay. Of rows of equal number, a line's number stays in all of them if it stays in one.
+    """
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     kept = linedup.kept_lines(docs, 0.8)
-    wordy = F.filter(F.split(F.coalesce("text", F.lit("")), "\n"), lambda line: line.rlike(mixing.WORD))
-    found = docs.select("doc_id", F.size(wordy).cast("bigint").alias("n_lines")).join(kept, "doc_id", "left")
-    n_kept = F.coalesce(F.size("kept"), F.lit(0)).cast("bigint")
-    return found.select("doc_id", "n_lines", n_kept.alias("n_kept"), (F.col("n_lines") - n_kept).alias("n_removed"), F.coalesce(F.concat_ws(",", F.col("kept").cast("array<string>")), F.lit("")).alias("kept_lines"))
+    lines = F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), lambda line, n: F.when(line.rlike(mixing.WORD), n))
+    found = docs.select("doc_id", F.array_compact(lines).alias("wordy")).join(kept, "doc_id", "left")
+    stay = F.when(F.col("doc_id").isNull(), F.col("wordy")).otherwise(F.array_intersect("wordy", F.coalesce("kept", F.array().cast("array<int>"))))
+    n_lines, n_kept = F.size("wordy").cast("bigint"), F.size("stay").cast("bigint")
+    rows = found.select("doc_id", "wordy", stay.alias("stay"))
+    return rows.select("doc_id", n_lines.alias("n_lines"), n_kept.alias("n_kept"), (n_lines - n_kept).alias("n_removed"), F.concat_ws(",", F.col("stay").cast("array<string>")).alias("kept_lines"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -51,6 +51,14 @@ def new_folder(spark: SparkSession, kind: str) -> str:
     return fs.makeQualified(path).toString()
 
 
+def fresh(columns: list[str], name: str) -> str:
+    """``name``, with as many underscores after it as make it differ from all columns, whatever their case."""
+    held = {c.lower() for c in columns}
+    while name.lower() in held:
+        name += "_"
+    return name
+
+
 def cut(df: DataFrame) -> DataFrame:
     """``df`` written to the shared folder and read from there: lineage ends, and a lost executor loses nothing."""
     checkpoint_root(df.sparkSession)
