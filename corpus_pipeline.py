@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.llm import bpe, linedup, mixing, neartext, quality, queries, shared
@@ -25,7 +26,8 @@ SHARE, EPOCHS = 0.9, 1
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the compression classifier does not reject; it learns from the labelled rows of four folds of five."""
     model = quality.learn(docs, queries.table(spark, sf_dir, "labels"), queries.fold(5) != 0)
-    return quality.scored(docs, model, QUALITY, whole=True).where("predicted = 1").select(*docs.columns)
+    called = tuple(shared.fresh(docs.columns, c) for c in ("_difference", "_score", "_predicted"))
+    return quality.scored(docs, model, QUALITY, whole=True, called=called).where(F.col(called[2]) == 1).select(*docs.columns)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,11 +45,18 @@ def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in the proportions of the target weights, each at most once; those without number go together."""
-    slim = docs.select("doc_id", "lang", "source", mixing.word_count().alias("_words"), F.crc32(F.col("text").cast("binary")).alias("_tie"))
+    """Documents in the proportions of the target weights, each at most once.
+
+    A row is told by its number and a hash of its text, language and source, also without a number; of rows equal in these, so many stay as are taken.
+    """
+    own, taken, place = (shared.fresh(docs.columns, c) for c in ("_own", "_taken", "_place"))
+    row = F.xxhash64(F.coalesce("text", F.lit("")), F.coalesce("lang", F.lit("")), F.coalesce("source", F.lit("")), F.isnull("text"))
+    slim = docs.select("doc_id", "lang", "source", mixing.word_count().alias("_words"), row.alias("_tie"))
     chosen = mixing.mixed(slim, queries.levels(), queries.WEIGHTS, SHARE, EPOCHS, tokens=F.col("_words"), ties=("_tie",), default=queries.OTHER)
-    taken = chosen.where("copies > 0").select(F.col("doc_id").alias("_taken"))
-    return docs.join(taken, F.col("doc_id").eqNullSafe(F.col("_taken")), "left_semi")
+    number = F.coalesce(F.col("doc_id").cast("string"), F.lit("none"))
+    found = chosen.where("copies > 0").groupBy(F.xxhash64(number, F.col("_tie")).alias(own)).agg(F.count(F.lit(1)).alias(taken))
+    met = docs.withColumn(own, F.xxhash64(number, row)).join(found, own)
+    return met.withColumn(place, F.row_number().over(W.partitionBy(own).orderBy(F.lit(0)))).where(F.col(place) <= F.col(taken)).select(*docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
