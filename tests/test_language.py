@@ -54,7 +54,7 @@ def test_rate_against_brute_force(make):
         series[k] = points
         rows += [("m", t, v, {"k": str(k)}) for t, v in points]
     df = make(*rows).select("labels", "ts", "value")
-    for function in (ranges.rate, ranges.rate_in_blocks):
+    for function in (ranges.rate, ranges.rate_by_series):
         for size in (7, 50, 300):
             got = function(df, size * 1_000_000).collect()
             found = sorted((r["labels"]["k"], round(r["ts"].timestamp() - T0.timestamp()), round(r["value"], 9)) for r in got)

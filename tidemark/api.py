@@ -131,13 +131,19 @@ class StoreApi:
     def ingest(self, body: str) -> int:
         """Checks a body and writes its samples; one that can't be taken raises ``ingest.Rejected``. Returns how many were written."""
         rows = ingest.from_json(self.store.spark.createDataFrame([(body,)], "value string"))
-        known = self.store.samples().select("name", ingest.cardinality_key().alias("series")).distinct()
-        good = ingest.accepted(rows, known, self.clock(), bool(self.quota and self.quota.exceeded()))
+        now = self.clock()
+        known = self.store.series(now - ingest.EXPIRY)
+        good = ingest.accepted(rows, known, now, bool(self.quota and self.quota.exceeded()))
         n = good.count()
         if n:
             self.store.write(good)
+            self.store.record(good.select("name", ingest.cardinality_key().alias("series")).distinct(), now)
         return n
 
+    def expire(self) -> int:
+        """Forgets series that were not seen for a day; to be run each hour."""
+        return self.store.forget(self.clock() - ingest.EXPIRY)
+
     def export(self, path: str, kind: str = "json", start: datetime | None = None, end: datetime | None = None, metric: str | None = None):
         """Writes an export of the last day by default, of 30 days at most."""
         if kind not in ("json", "csv"):

@@ -62,6 +62,16 @@ def six_decimals(value: Column) -> Column:
 
 
 def shortest(value: Column) -> Column:
-    """The shortest decimal text that reads back as the value, without an exponent for whole numbers below 1e21."""
-    whole = (F.abs(value) < 1e15) & (value == F.floor(value))
-    return F.when(whole, value.cast("bigint").cast("string")).otherwise(value.cast("string"))
+    """The shortest decimal digits that read back as the value, never with an exponent; NaN, +Inf and -Inf by these names."""
+    text = value.cast("string")
+    sign, rest = F.when(text.startswith("-"), "-").otherwise(""), F.regexp_replace(text, "^-", "")
+    whole, part, power = (F.regexp_extract(rest, r"^(\d+)\.(\d+)E(-?\d+)$", k) for k in (1, 2, 3))
+    digits = F.concat(whole, F.when(part == "0", "").otherwise(part))
+    point = F.length(whole) + F.coalesce(power.try_cast("int"), F.lit(0))  # how many digits stand before the point
+    wide = (
+        F.when(point <= 0, F.concat(F.lit("0."), F.repeat(F.lit("0"), -point), digits))
+        .when(point >= F.length(digits), F.concat(digits, F.repeat(F.lit("0"), point - F.length(digits))))
+        .otherwise(F.concat(F.substring(digits, F.lit(1), point), F.lit("."), F.substring(digits, point + 1, F.length(digits))))
+    )
+    plain = F.when(power != "", wide).otherwise(F.regexp_replace(rest, r"\.0$", ""))
+    return F.when(F.isnan(value), "NaN").when(value == float("inf"), "+Inf").when(value == float("-inf"), "-Inf").otherwise(F.concat(sign, plain))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Bytes and numbers that ingest allows.
+#: Bytes and numbers that ingest allows.
 MAX_NAME, MAX_LABELS, MAX_KEY, MAX_VALUE = 256, 20, 256, 1024
 #: Kinds of metrics.
 KINDS = ("counter", "gauge", "histogram")

@@ -5,10 +5,10 @@ from __future__ import annotations
 from datetime import datetime, timedelta
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark import model
+from tidemark.operators import running
 from tidemark.sources.store import matching
 
 #: Points of a chart by default and at most, and its longest range.
@@ -20,10 +20,9 @@ NAME_ROWS = 10_000
 def downsampled(rows: DataFrame, keys: list[str], points: int) -> DataFrame:
     """Series of more than ``points`` points in consecutive chunks of n div ``points``: the first time and the mean value of each.
 
-    Places come from the window that also counts the series, so one shuffle on the series does both.
+    A long series is put in places by pieces of time, so no task holds it whole.
     """
-    order = W.partitionBy(*keys).orderBy("ts", "value")
-    placed = rows.withColumns({"_i": F.row_number().over(order) - 1, "_n": F.count(F.lit(1)).over(W.partitionBy(*keys))})
+    placed = running.placed(rows, keys, ["ts", "value"]).withColumn("_i", F.col("_i") - 1)
     size = F.greatest(F.lit(1).cast("bigint"), F.when(F.col("_n") > points, F.expr(f"_n div {points}")).otherwise(1))
     chunk = placed.withColumn("_size", size).withColumn("_chunk", F.expr("_i div _size"))
     return chunk.groupBy(*keys, "_chunk").agg(F.min("ts").alias("ts"), F.avg("value").alias("value")).drop("_chunk")
@@ -50,7 +49,7 @@ def range_points(samples: DataFrame, metric: str, start: datetime, end: datetime
 
 
 def as_series(points: DataFrame, metric: str, resolution: str = "raw") -> DataFrame:
-    """A row for each series: metric, labels, points as (t in milliseconds, v) in order, and the resolution."""
+    """A row for each series: metric, labels, points as (t in milliseconds, v) in order, and the resolution. For charts: at most about two times MAX_POINTS points a series."""
     ms = F.expr("unix_micros(ts) div 1000").alias("t")
     grouped = points.withColumn("_key", model.series_key()).groupBy("_key").agg(F.sort_array(F.collect_list(F.struct(ms, F.col("value").alias("v")))).alias("points"))
     return grouped.select(F.lit(metric).alias("metric"), F.map_from_entries("_key").alias("labels"), "points", F.lit(resolution).alias("resolution"))

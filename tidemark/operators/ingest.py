@@ -14,6 +14,9 @@ MAX_REQUEST, MAX_SERIES, MAX_SERIES_OF_NAME = 1000, 100_000, 10_000
 #: Ages that an imported sample may have.
 IMPORT_PAST, IMPORT_FUTURE = timedelta(days=3650), timedelta(hours=24)
 
+#: Age at which a series no longer counts.
+EXPIRY = timedelta(hours=24)
+
 _SAMPLE = "struct<name:string,type:string,value:double,labels:map<string,string>,timestamp:string>"
 
 
@@ -97,7 +100,7 @@ def series_seen(samples: DataFrame) -> DataFrame:
     return samples.groupBy("name", cardinality_key().alias("series")).agg(F.max("ts").alias("last_seen"))
 
 
-def expired(seen: DataFrame, now: datetime, age: timedelta = timedelta(hours=24)) -> DataFrame:
+def expired(seen: DataFrame, now: datetime, age: timedelta = EXPIRY) -> DataFrame:
     """Series not seen for longer than ``age``."""
     return seen.where(F.col("last_seen") < F.lit(now - age).cast("timestamp"))
 

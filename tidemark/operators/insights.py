@@ -5,10 +5,10 @@ from __future__ import annotations
 from datetime import timedelta
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark import model
+from tidemark.operators import running
 
 #: Warning and critical levels by a part of the metric's name; the first part that fits counts.
 THRESHOLDS = {
@@ -76,7 +76,7 @@ def trend(points: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
 
     The point in the middle of an odd number belongs to the second half.
     """
-    placed = points.withColumns({"_i": F.row_number().over(W.partitionBy(*keys).orderBy(*order)), "_n": F.count(F.lit(1)).over(W.partitionBy(*keys))})
+    placed = running.placed(points, keys, order)
     early = F.col("_i") <= F.expr("_n div 2")
     halves = placed.groupBy(*keys).agg(F.avg(F.when(early, F.col("value"))).alias("_a"), F.avg(F.when(~early, F.col("value"))).alias("_b"))
     safe = F.when(F.col("_a") != 0, F.col("_a"))

@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 
 from tidemark import model
 from tidemark.functions.scalars import normal_path
+from tidemark.operators import running
 
-#: Upper bounds of a histogram's buckets, in seconds.
+#: Upper bounds of a histogram's buckets, in seconds.
 BOUNDS = (0.001, 0.005, 0.01, 0.025, 0.05, 0.1, 0.25, 0.5, 1.0, 2.5, 5.0, 10.0)
 
 
@@ -21,19 +22,29 @@ def label_pairs(*pairs: str) -> Column:
 
 
 def counter(steps: DataFrame, keys: list[str], order: list[str], value: str = "value") -> DataFrame:
-    """Each step with the running total of its series. Negative steps are ignored."""
-    running = W.partitionBy(*keys).orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
-    return steps.where(F.col(value) >= 0).withColumn("total", F.sum(value).over(running))
+    """Each step with the running total of its series. Negative steps are ignored. A long series is added up by pieces of time."""
+    return running.placed(steps.where(F.col(value) >= 0), keys, order, {"total": F.col(value)}).select(*(c for c in steps.columns if c != "total"), "total")
 
 
 def gauge(events: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """Each event with the gauge after it: ``op`` is set, add, sub, inc or dec, and ``value`` its operand."""
-    running = W.partitionBy(*keys).orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
+    """Each event with the gauge after it: ``op`` is set, add, sub, inc or dec, and ``value`` its operand.
+
+    A long series is cut into pieces of time. What a piece hands on is the sum since its last set, added to what came before it if it has none.
+    """
     op = F.col("op")
     change = F.when(op == "add", F.col("value")).when(op == "sub", -F.col("value")).when(op == "inc", 1.0).when(op == "dec", -1.0).when(op == "set", F.col("value"))
-    marked = events.withColumns({"_set": F.sum((op == "set").cast("int")).over(running), "_change": change})
-    since = W.partitionBy(*keys, "_set").orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
-    return marked.withColumn("gauge", F.sum("_change").over(since)).drop("_set", "_change")
+    cut = events.withColumns({"_piece": running.pieces(events, order), "_change": change})
+    inside = running.along(keys, order)
+    cut = cut.withColumn("_set", F.sum((op == "set").cast("int")).over(inside))
+    since = W.partitionBy(*keys, "_piece", "_set").orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
+    cut = cut.withColumn("_since", F.sum("_change").over(since))
+    ends = cut.groupBy(*keys, "_piece").agg(F.max("_set").alias("_sets"), F.max_by("_since", F.struct("_set", *order)).alias("_tail"))
+    row = W.partitionBy(*keys).orderBy("_piece")
+    ends = ends.withColumn("_run", F.sum((F.col("_sets") > 0).cast("int")).over(row))
+    ends = ends.withColumn("_end", F.sum("_tail").over(W.partitionBy(*keys, "_run").orderBy("_piece")))
+    ends = ends.select(*(F.col(k).alias(f"_key{i}") for i, k in enumerate(keys)), F.col("_piece").alias("_of"), F.coalesce(F.lag("_end").over(row), F.lit(0.0)).alias("_carry"))
+    met = cut.join(ends, [*(F.col(k).eqNullSafe(F.col(f"_key{i}")) for i, k in enumerate(keys)), F.col("_piece") == F.col("_of")])
+    return met.withColumn("gauge", F.col("_since") + F.when(F.col("_set") == 0, F.col("_carry")).otherwise(0.0)).select(*events.columns, "gauge")
 
 
 def bound_text(bound: float) -> str:

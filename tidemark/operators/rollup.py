@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from datetime import datetime, timedelta
 
 from pyspark.sql import DataFrame
@@ -16,6 +17,8 @@ MINUTES = {FIVE_MINUTES: 5, ONE_HOUR: 60}
 #: Raw samples are rolled up between these ages and then deleted; so are 5-minute ones. Hourly ones stay.
 RAW_LOOKBACK, RAW_AGE = timedelta(hours=12), timedelta(hours=6)
 FIVE_LOOKBACK, FIVE_AGE = timedelta(days=7), timedelta(days=2)
+#: Seconds before a run that failed is tried again.
+PAUSES = (30.0, 60.0, 120.0)
 #: Labels by which a rollup is written where only labels can be stored.
 INTERNAL = ("__resolution__", "__sum__", "__count__", "__min__", "__max__")
 
@@ -101,6 +104,35 @@ def kept(samples: DataFrame, before: datetime, resolution: str | None = None) ->
     return samples.where(~F.coalesce(gone, F.lit(False)))
 
 
+def compact_store(store, now: datetime) -> dict[str, int]:
+    """One run over an upsert store: raw samples are rolled up and the old ones deleted, then 5-minute ones to hourly ones. Returns what was written and deleted.
+
+    Rollups are written before anything is deleted, and replace those of an earlier run that broke off, so a run can be repeated.
+    """
+    if not store.upsert:
+        raise ValueError("a store that keeps every row would hold rollups twice")
+    windows, done = plan(now), {}
+    for resolution, roll, old, age in ((FIVE_MINUTES, five_minutes, RAW, RAW_AGE), (ONE_HOUR, one_hour, FIVE_MINUTES, FIVE_LOOKBACK)):
+        start, end = windows[resolution]
+        rolled = roll(store.query(start, end), start, end)
+        store.write(rolled)
+        done[resolution] = store.query(start, end).where(F.col("resolution") == resolution).count()
+        done[f"deleted {old or 'raw'}"] = store.delete(now - age, old)
+    return done
+
+
+def maintained(store, now: datetime, pauses: tuple[float, ...] = PAUSES, sleep=time.sleep) -> dict:
+    """:func:`compact_store`, tried again after each of ``pauses``; what it did, how often it was tried, the last error, and whether it ended well."""
+    for attempt, pause in enumerate((*pauses, None), 1):
+        try:
+            return {"healthy": True, "attempts": attempt, "error": None, **compact_store(store, now)}
+        except Exception as e:  # any failure of a job is tried again, and told if it stays
+            if pause is None:
+                return {"healthy": False, "attempts": attempt, "error": str(e)}
+            sleep(pause)
+    raise AssertionError
+
+
 def compacted(samples: DataFrame, now: datetime) -> DataFrame:
     """All samples after one run at ``now``: rolled up, replaced where a bucket was there before, and the old ones deleted."""
     windows = plan(now)

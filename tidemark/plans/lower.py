@@ -208,7 +208,7 @@ class Planner:
             return self.matched(node, left, right)
         if not (self._one(left) and self._one(right)):
             raise QueryError("vector-to-vector operations not yet implemented")
-        other = right.df if right.distinct else right.df.groupBy("ts").agg(F.first("value").alias("value"))
+        other = right.df if right.distinct else right.df.groupBy("ts").agg(F.min("value").alias("value"))  # of several values at one time, the least
         joined = left.df.join(other.select("ts", F.col("value").alias("_right")), "ts")
         return Vector(joined.select("labels", "ts", scalars.arithmetic(node.op, F.col("value"), F.col("_right")).alias("value")), True, left.distinct)
 

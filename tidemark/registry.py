@@ -92,7 +92,7 @@ language("sum_of_rate", "events_total", "sum(increase(events_total[6h]))", [], f
 def increase_in_blocks(spark: SparkSession, folder: str) -> DataFrame:
     """The same increase with each series cut into blocks of time."""
     size = 6 * 3_600_000_000
-    points = ranges.rate_in_blocks(tables.events_total(spark, folder).select("labels", "ts", "value"), size)
+    points = ranges.rate(tables.events_total(spark, folder).select("labels", "ts", "value"), size)
     return flat(points.withColumn("value", F.col("value") * (size / 1e6)), "event_type")
 
 
@@ -276,14 +276,14 @@ def import_validation(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query(
-    """SELECT strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS timestamp, 'event_value' AS name, 'gauge' AS type, '' AS endpoint, event_type, CASE WHEN event_id % 2 = 0 THEN CAST(user_id AS VARCHAR) ELSE '' END AS user_id FROM events"""
+    """SELECT strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS timestamp, 'event_value' AS name, 'gauge' AS type, regexp_replace(CAST(value AS VARCHAR), '[.]0$', '') AS value, '' AS endpoint, event_type, CASE WHEN event_id % 2 = 0 THEN CAST(user_id AS VARCHAR) ELSE '' END AS user_id FROM events"""
 )
 def csv_flatten(spark: SparkSession, folder: str) -> DataFrame:
     view = tables.read(spark, folder, "events").select(
         F.lit("event_value").alias("name"), F.lit("gauge").alias("type"), "value", F.col("ts").cast("timestamp").alias("ts"),
         F.map_filter(F.create_map(F.lit("event_type"), "event_type", F.lit("user_id"), F.when(F.col("event_id") % 2 == 0, F.col("user_id").cast("string"))), lambda k, v: v.isNotNull()).alias("labels"),
     )
-    return exchange.csv_rows(view, ["endpoint", "event_type", "user_id"]).drop("value")
+    return exchange.csv_rows(view, ["endpoint", "event_type", "user_id"])
 
 
 @query("SELECT event_id, printf('%.6f', value) AS value FROM events")

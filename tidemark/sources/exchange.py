@@ -16,6 +16,8 @@ from tidemark.sources.store import in_order, matching
 #: Version of the JSON format, rows of an import batch, and ranges of an export.
 VERSION, BATCH = "1.0", 5000
 DEFAULT_RANGE, MAX_RANGE = timedelta(hours=24), timedelta(days=30)
+#: Label keys that a CSV export has columns for, and metrics of a single JSON document, at most.
+MAX_KEYS, MAX_DOCUMENT = 10_000, 1_000_000
 
 _METRIC = "struct<name:string,type:string,value:double,labels:map<string,string>,timestamp:string>"
 
@@ -43,7 +45,9 @@ def csv_rows(samples: DataFrame, keys: list[str]) -> DataFrame:
 def export_csv(samples: DataFrame, path: str, start: datetime | None = None, end: datetime | None = None, names: list[str] | None = None) -> list[str]:
     """Writes a folder of CSV files with a header, in the store's order; returns the label keys. The keys, not the samples, go to the driver."""
     rows = matching(samples, start, end, names)
-    keys = [r[0] for r in label_keys(rows).toLocalIterator()]
+    keys = [r[0] for r in label_keys(rows).limit(MAX_KEYS + 1).toLocalIterator()]
+    if len(keys) > MAX_KEYS:
+        raise ValueError(f"more than {MAX_KEYS} label keys, each of which would be a column")
     csv_rows(in_order(rows), keys).write.mode("overwrite").option("header", True).option("emptyValue", "").option("nullValue", "").csv(path)
     return keys
 
@@ -57,6 +61,8 @@ def json_rows(samples: DataFrame) -> DataFrame:
 def json_document(samples: DataFrame, start: datetime, end: datetime, exported_at: datetime) -> DataFrame:
     """One row, ``document``: metadata and all metrics. For exports that one value can hold; larger ones go to :func:`export_json`."""
     metrics = in_order(samples).select(F.struct("name", "type", "value", "labels", utc_fine(F.col("ts")).alias("timestamp")).alias("m"))
+    if samples.limit(MAX_DOCUMENT + 1).count() > MAX_DOCUMENT:
+        raise ValueError(f"more than {MAX_DOCUMENT} metrics; export_json writes them as lines")
     whole = metrics.agg(F.collect_list("m").alias("metrics"), F.count(F.lit(1)).alias("n"))
     return whole.select(F.to_json(F.struct(_metadata(start, end, exported_at, F.col("n")).alias("metadata"), "metrics"), {"pretty": "true"}).alias("document"))
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
@@ -55,87 +56,169 @@ def statistics(samples: DataFrame) -> DataFrame:
 
 
 class SampleStore:
-    """A folder of samples. ``upsert`` stores keep one row for a series and time, the last written; others keep every row."""
+    """A folder of samples. ``upsert`` stores keep one row for a series and time, the last written; others keep every row.
+
+    Beside the samples lie folders that scans pass over: ``_tickets`` (the numbers of writes), ``_series`` (series as they were seen), and, while a day is being
+    replaced, ``_new-…`` and ``_old-…``.
+    """
 
     def __init__(self, spark: SparkSession, path: str, upsert: bool = True, max_samples: int | None = None):
         self.spark, self.path, self.upsert, self.max_samples = spark, path.rstrip("/"), upsert, max_samples
 
-    def _files(self) -> bool:
-        p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path)
-        fs = p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-        return fs.exists(p) and len(fs.listStatus(p)) > 0
+    def _at(self, path: str):
+        return self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+
+    @property
+    def _fs(self):
+        return self._at(self.path).getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+
+    def _listed(self, path: str) -> list[str]:
+        """Names in a folder, none if it is not there."""
+        fs, at = self._fs, self._at(path)
+        return [s.getPath().getName() for s in fs.listStatus(at)] if fs.exists(at) else []
 
     def _raw(self) -> DataFrame:
         columns = [*model.SAMPLES.fieldNames(), "_seq"]
-        if not self._files():
+        if not any(n.startswith("res=") for n in self._listed(self.path)):
             return self.spark.createDataFrame([], model.SAMPLES).withColumn("_seq", F.lit(0).cast("bigint")).withColumn("event_date", F.lit(None).cast("date"))
         rows = self.spark.read.parquet(self.path)
         return rows.withColumn("resolution", F.when(F.col("res") == "raw", model.RAW).otherwise(F.col("res"))).select(*columns, "event_date")
 
+    # Writing
+
+    def _ticket(self) -> int:
+        """A number above all earlier ones, that no other writer gets: who creates its file has it."""
+        folder = f"{self.path}/_tickets"
+        held = [int(n) for n in self._listed(folder) if n.isdigit()]
+        n = max(held) if held else self._raw().agg(F.max("_seq")).first()[0] or 0
+        while True:
+            n += 1
+            if self._fs.createNewFile(self._at(f"{folder}/{n}")):
+                for old in held:  # only the last ones tell where to go on
+                    if old < n - 100:
+                        self._fs.delete(self._at(f"{folder}/{old}"), False)
+                return n
+
     def write(self, samples: DataFrame, sequence: int | None = None) -> None:
-        """Appends samples. ``sequence`` orders writes for an upsert; by default it is one more than the last. Of rows of one write with equal key, the greatest value stays."""
+        """Appends samples. ``sequence`` orders writes for an upsert; by default it is above those before. Of rows of one write with equal key, the greatest value stays."""
         if self.max_samples is not None:
             # A limit of one more than the cap keeps the count of what would not fit bounded.
             held = self.samples().limit(self.max_samples + 1).count()
             if held + samples.limit(self.max_samples - held + 1).count() > self.max_samples:
                 raise StoreFull(f"storage limit reached: {self.max_samples} samples")
-        if sequence is None:
-            sequence = (self._raw().agg(F.max("_seq")).first()[0] or 0) + 1
-        self._write(model.samples(samples).withColumn("_seq", F.lit(sequence).cast("bigint")), "append")
+        sequence = self._ticket() if sequence is None else sequence
+        self._write(model.samples(samples).withColumn("_seq", F.lit(sequence).cast("bigint")), "append", self.path)
 
-    def _write(self, rows: DataFrame, mode: str, path: str | None = None) -> None:
+    def _write(self, rows: DataFrame, mode: str, path: str) -> None:
         placed = rows.withColumns({"event_date": F.to_date("ts"), "res": F.when(F.col("resolution") == model.RAW, "raw").otherwise(F.col("resolution"))})
         # Range partitioning by day and name spreads a busy day over several tasks and keeps a name's rows in few files.
         dealt = placed.repartitionByRange("res", "event_date", "name", "ts").sortWithinPartitions("name", "ts")
-        dealt.drop("resolution").write.partitionBy("res", "event_date").mode(mode).parquet(path or self.path)
+        dealt.drop("resolution").write.partitionBy("res", "event_date").mode(mode).parquet(path)
 
-    def samples(self, start: datetime | None = None, end: datetime | None = None) -> DataFrame:
-        """The samples, only of the days of a range if one is given."""
+    # Reading
+
+    def _days(self, start: datetime | None, end: datetime | None) -> DataFrame:
         rows = self._raw()
         if start is not None:
             rows = rows.where(F.col("event_date") >= F.to_date(F.lit(start).cast("timestamp")))
         if end is not None:
             rows = rows.where(F.col("event_date") <= F.to_date(F.lit(end).cast("timestamp")))
+        return rows
+
+    def _newest(self, rows: DataFrame) -> DataFrame:
         return (latest(rows, "_seq") if self.upsert else rows).select(*model.SAMPLES.fieldNames())
 
+    def samples(self, start: datetime | None = None, end: datetime | None = None) -> DataFrame:
+        """The samples, only of the days of a range if one is given."""
+        return self._newest(self._days(start, end))
+
     def query(self, start=None, end=None, names=None, labels=None, limit=None) -> DataFrame:
-        """:func:`matching` over the store."""
-        return matching(self.samples(start, end), start, end, names, labels, limit)
+        """:func:`matching` over the store. Name, labels and time are parts of an upsert's key, so all but the limit is applied before the newest rows are chosen."""
+        found = self._newest(matching(self._days(start, end), start, end, names, labels))
+        return in_order(found).limit(limit) if limit else found
+
+    def statistics(self) -> DataFrame:
+        return statistics(self.samples())
+
+    # Deleting and replacing
 
     def delete(self, before: datetime, resolution: str | None = None) -> int:
-        """Deletes samples before a time, of one resolution or all; returns how many. Only days that hold such samples are written again."""
-        old = self._raw().where(F.col("ts") < F.lit(before).cast("timestamp"))
+        """Deletes samples before a time, of one resolution or all; returns how many. Days before it go as folders; only the day of the time itself is written again."""
+        self.recover()
+        old = self._raw().where((F.col("ts") < F.lit(before).cast("timestamp")) & (F.col("event_date") <= F.to_date(F.lit(before).cast("timestamp"))))
         if resolution is not None:
             old = old.where(F.col("resolution") == resolution)
-        touched = [(r[0], r[1]) for r in old.select("resolution", "event_date").distinct().collect()]  # a row for each day and resolution
-        if not touched:
-            return 0
-        gone = old.count()
-        keep_from = F.col("ts") >= F.lit(before).cast("timestamp")
-        for res, day in touched:
-            part = self._raw().where((F.col("resolution") == res) & (F.col("event_date") == F.lit(day)))
-            self._replace(part.where(keep_from), res or "raw", day)
-        return gone
+        days = old.groupBy("resolution", "event_date", (F.col("event_date") < F.to_date(F.lit(before).cast("timestamp"))).alias("whole")).count().collect()  # a row for each day and resolution
+        for r in days:
+            res = r["resolution"] or "raw"
+            if r["whole"]:
+                self._fs.delete(self._at(f"{self.path}/res={res}/event_date={r['event_date']}"), True)
+            else:
+                part = self._raw().where((F.col("resolution") == r["resolution"]) & (F.col("event_date") == F.lit(r["event_date"])))
+                self._replace(part.where(F.col("ts") >= F.lit(before).cast("timestamp")), res, r["event_date"])
+        self.spark.catalog.refreshByPath(self.path)
+        return sum(r["count"] for r in days)
 
     def compact(self) -> None:
         """Writes each day's many small files as few, without rows that an upsert has replaced."""
+        self.recover()
         for r in self._raw().select("resolution", "event_date").distinct().collect():
             part = self._raw().where((F.col("resolution") == r[0]) & (F.col("event_date") == F.lit(r[1])))
             self._replace(latest(part, "_seq") if self.upsert else part, r[0] or "raw", r[1])
 
     def _replace(self, rows: DataFrame, res: str, day) -> None:
-        """One day of one resolution written aside and then moved into its place."""
-        jvm = self.spark.sparkContext._jvm.org.apache.hadoop.fs
-        aside, place = f"{self.path}.aside", f"{self.path}/res={res}/event_date={day}"
-        fs = jvm.Path(self.path).getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-        fs.delete(jvm.Path(aside), True)
-        self._write(rows.drop("event_date"), "overwrite", aside)
-        fs.delete(jvm.Path(place), True)
-        made = jvm.Path(f"{aside}/res={res}/event_date={day}")
-        if fs.exists(made):
-            fs.rename(made, jvm.Path(place))
-        fs.delete(jvm.Path(aside), True)
+        """One day of one resolution, written anew and then put in the old one's place.
+
+        The old day is moved aside before the new one takes its place and is deleted after; :meth:`recover` brings it back if the writer is lost in between.
+        """
+        fs, run, inside = self._fs, uuid.uuid4().hex, f"res={res}/event_date={day}"
+        new, old, place = f"{self.path}/_new-{run}", f"{self.path}/_old-{run}", self._at(f"{self.path}/{inside}")
+        self._write(rows.drop("event_date"), "overwrite", new)
+        fs.mkdirs(self._at(f"{old}/res={res}"))
+        fs.mkdirs(place.getParent())
+        fs.rename(place, self._at(f"{old}/{inside}"))
+        if fs.exists(self._at(f"{new}/{inside}")):
+            fs.rename(self._at(f"{new}/{inside}"), place)
+        fs.delete(self._at(old), True)
+        fs.delete(self._at(new), True)
         self.spark.catalog.refreshByPath(self.path)
 
-    def statistics(self) -> DataFrame:
-        return statistics(self.samples())
+    def recover(self) -> int:
+        """Puts days back whose replacement broke off between the two moves; returns how many. To be run while nobody else replaces days."""
+        fs, back = self._fs, 0
+        for run in [n for n in self._listed(self.path) if n.startswith("_old-")]:
+            for res in self._listed(f"{self.path}/{run}"):
+                for day in self._listed(f"{self.path}/{run}/{res}"):
+                    place = self._at(f"{self.path}/{res}/{day}")
+                    if not fs.exists(place):
+                        fs.mkdirs(place.getParent())
+                        fs.rename(self._at(f"{self.path}/{run}/{res}/{day}"), place)
+                        back += 1
+            fs.delete(self._at(f"{self.path}/{run}"), True)
+        for run in [n for n in self._listed(self.path) if n.startswith("_new-")]:
+            fs.delete(self._at(f"{self.path}/{run}"), True)
+        return back
+
+    # Series
+
+    def series(self, since: datetime | None = None) -> DataFrame:
+        """``name``, ``series`` and ``last_seen`` of the series that were recorded, only those seen since a time if one is given. A small table beside the samples."""
+        if not self._listed(f"{self.path}/_series"):
+            return self.spark.createDataFrame([], "name string, series array<struct<key:string,value:string>>, last_seen timestamp")
+        seen = self.spark.read.parquet(f"{self.path}/_series").groupBy("name", "series").agg(F.max("last_seen").alias("last_seen"))
+        return seen if since is None else seen.where(F.col("last_seen") >= F.lit(since).cast("timestamp"))
+
+    def record(self, series: DataFrame, at: datetime) -> None:
+        """Notes that series (``name``, ``series``) were seen."""
+        series.select("name", "series", F.lit(at).cast("timestamp").alias("last_seen")).coalesce(1).write.mode("append").parquet(f"{self.path}/_series")
+
+    def forget(self, before: datetime) -> int:
+        """Drops series not seen since a time; returns how many. The table is written anew, so all counts follow from what is left."""
+        rows = self.series()
+        gone = rows.where(F.col("last_seen") < F.lit(before).cast("timestamp")).count()
+        aside = f"{self.path}/_series-{uuid.uuid4().hex}"
+        rows.where(F.col("last_seen") >= F.lit(before).cast("timestamp")).write.parquet(aside)
+        self._fs.delete(self._at(f"{self.path}/_series"), True)
+        self._fs.rename(self._at(aside), self._at(f"{self.path}/_series"))
+        self.spark.catalog.refreshByPath(f"{self.path}/_series")
+        return gone

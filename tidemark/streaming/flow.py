@@ -70,6 +70,18 @@ def into_store(samples: DataFrame, store: SampleStore, checkpoint: str, availabl
     return (writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime=EVERY)).start()
 
 
+def into_store_and_late(samples: DataFrame, store: SampleStore, late: str, checkpoint: str, clock, delay: timedelta = timedelta(hours=6), available_now: bool = True):
+    """:func:`into_store`, but samples that are older than ``delay`` when they come, whose rollup may be done, go to Parquet files in ``late``, by batch."""
+
+    def write(batch: DataFrame, n: int) -> None:
+        bound = F.lit(clock() - delay).cast("timestamp")
+        store.write(batch.where(F.col("ts") >= bound), n)
+        batch.where(F.col("ts") < bound).write.mode("overwrite").parquet(f"{late}/batch={n}")
+
+    writer = samples.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime=EVERY)).start()
+
+
 def live_feed(spark: SparkSession, store: SampleStore, send: Callable[[list], None], listening: Callable[[], bool], checkpoint: str, clock):
     """Every five seconds, if anyone listens, sends the last minute's samples, so many at most."""
     ticks = spark.readStream.format("rate").option("rowsPerSecond", 1).load()
