@@ -95,7 +95,7 @@ def token_levels(docs: DataFrame, text: str, hashed: Callable[[list[bytes | None
 
     counted = docs.select(F.col(text).cast("binary").alias("_text")).mapInArrow(run, blobs.SCHEMA)
     out = np.zeros(BUCKETS, np.uint8)
-    for r in counted.repartition(16, "shard").mapInArrow(add, blobs.SCHEMA).toLocalIterator():
+    for r in counted.repartition(16, "shard").mapInArrow(add, blobs.SCHEMA).collect():  # a byte for each bucket
         out[r["shard"] * SLICE : (r["shard"] + 1) * SLICE] = np.frombuffer(bytes(r["data"]), np.uint8)
     return out
 
@@ -169,22 +169,15 @@ def _pieces(batch: pa.RecordBatch, size: int = 1 << 21) -> Iterator[pa.RecordBat
         yield batch.slice(start)
 
 
-def _open_buckets(opened: DataFrame, bits: int = 32):
-    """The buckets of the open lines' prefix tokens, in a table of fixed size; for later rounds, which only need these lists."""
+def _open_buckets(opened: DataFrame, bits: int = 32) -> np.ndarray:
+    """The buckets of the open lines' prefix tokens, as a bitmap; for later rounds, which only need these lists."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        marked = np.zeros(BUCKETS, bool)
         for batch in batches:
-            for p in batch.column(0).to_pylist():
-                marked[np.frombuffer(p, f"<u{bits // 8}").astype(np.uint64) >> _U(bits - 22)] = True
-        at = np.flatnonzero(marked)
-        if len(at):
-            yield pa.RecordBatch.from_arrays([pa.array(at)], ["bucket"])
-
-    out = np.zeros(BUCKETS, bool)
-    for r in opened.where("open").select("prefix").mapInArrow(run, "bucket bigint").distinct().toLocalIterator():
-        out[r[0]] = True
-    return out
+            found = np.frombuffer(b"".join(batch.column(0).to_pylist()), f"<u{bits // 8}").astype(np.uint64) >> _U(bits - 22)
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(found).astype(np.int64))], ["bucket"])
+
+    return bitmap(opened.where("open").select("prefix").mapInArrow(run, "bucket bigint"))
 
 
 def _list_lengths(sets: DataFrame, bits: int = 32) -> np.ndarray:
@@ -218,7 +211,7 @@ def _candidates(sets: DataFrame, rule: Rule, lengths, limit: int, parts: int, on
             of, token = np.repeat(np.arange(len(raw)), p), np.concatenate(raw).astype(np.uint64)
             place = np.arange(len(of)) - np.repeat(np.cumsum(p) - p, p)
             if only is not None:
-                wanted = only.value[(token >> _U(bits - 22)).astype(np.int64)]
+                wanted = marked(only.value, (token >> _U(bits - 22)).astype(np.int64))
                 of, token, place = of[wanted], token[wanted], place[wanted]
             chunks = np.ceil(2.0 ** (lengths.value[(token >> _U(bits - 22)).astype(np.int64)] / 4.0) / LONG).astype(np.int64)
             own = (words.mixed_hash(s1.view(np.uint64), s2.view(np.uint64))[of] % np.maximum(chunks, 1).astype(np.uint64)).astype(np.int64)
@@ -333,7 +326,7 @@ def bitmap(marks: DataFrame) -> np.ndarray:
         yield from rows(found)
 
     out = np.zeros(MARKS // 8, np.uint8)
-    for r in marks.mapInArrow(mark, blobs.SCHEMA).repartition(16, "shard").mapInArrow(add, blobs.SCHEMA).toLocalIterator():
+    for r in marks.mapInArrow(mark, blobs.SCHEMA).repartition(16, "shard").mapInArrow(add, blobs.SCHEMA).collect():
         at = r["shard"] * size // 8
         out[at : at + size // 8] = np.frombuffer(zstandard.ZstdDecompressor().decompress(bytes(r["data"])), np.uint8)
     return out

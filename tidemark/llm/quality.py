@@ -128,7 +128,7 @@ def learn(docs: DataFrame, labels: DataFrame, learned: Column, ident: str = "doc
         return pa.RecordBatch.from_arrays([pa.array(kinds, pa.int32()), pa.array(pieces, pa.binary())], ["kind", "piece"])
 
     pieces: dict[int, list[bytes]] = {0: [], 1: []}
-    for r in words.map_batches(rows.where("not _fits").select("_text", "_label"), cut_up, "kind int, piece binary").toLocalIterator():
+    for r in words.map_batches(rows.where("not _fits").select("_text", "_label"), cut_up, "kind int, piece binary").coalesce(4).toLocalIterator():
         pieces[r["kind"]].append(bytes(r["piece"]))
     if not pieces[0] or not pieces[1]:
         return Model(b"", b"", *flat)

@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import graph, shared
 
-#: Vectors of a tile's side at most.
-TILE = 1024
+#: Vectors of a tile's side at most, and of each of the two blocks that a task holds and compares tile by tile.
+TILE, BLOCK = 1024, 8192
 #: Vectors that the principal components are fitted on at most. Any rotation gives the same links; a good one prunes more.
 SAMPLE = 8192
 #: Leading components whose values deal vectors into cells; and how many components are added up before each look at the bounds.
@@ -72,7 +72,7 @@ def near_vectors(vectors: DataFrame, threshold: float, ident: str = "vec_id", ve
     total = classes.count()
     place = F.pmod(F.xxhash64("rep", F.lit(3)), F.lit(1 << 30)) / float(1 << 30)
     taken: dict[int, list] = {}
-    for r in classes.where(place < min(1.0, SAMPLE / max(total, 1))).select("_dims", "_vector").limit(2 * SAMPLE).toLocalIterator():
+    for r in classes.where(place < min(1.0, SAMPLE / max(total, 1))).select("_dims", "_vector").limit(2 * SAMPLE).collect():
         taken.setdefault(r[0], []).append(r[1])
     bases = spark.sparkContext.broadcast({d: basis(unit(np.array(v))) for d, v in taken.items()})  # a matrix for each length of vectors in the bounded sample
     reach = float(np.sqrt(max(2 - 2 * threshold, 0))) + 1e-6  # unit vectors of that cosine are no farther apart, nor are any of their components
@@ -96,8 +96,8 @@ def near_vectors(vectors: DataFrame, threshold: float, ident: str = "vec_id", ve
     cells = [f"c{k}" for k in range(CELLS)]
     place_keys = ["_label", "_dims", *cells]
     placed = shared.cut(classes.select(*own).mapInArrow(celled, ", ".join([*(f"{c} {kinds[c]}" for c in own), *(f"{c} int" for c in cells)])))
-    # Blocks of TILE vectors of a cell, and the pairs of blocks of equal or adjacent cells.
-    blocks = placed.groupBy(*place_keys).agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("chunks"))
+    # Blocks of BLOCK vectors of a cell, and the pairs of blocks of equal or adjacent cells.
+    blocks = placed.groupBy(*place_keys).agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("chunks"))
     near = blocks
     for c in cells:
         near = near.withColumn(f"_{c}", F.explode(F.array(*(F.col(c) + d for d in (-1, 0, 1)))))
@@ -118,14 +118,23 @@ def near_vectors(vectors: DataFrame, threshold: float, ident: str = "vec_id", ve
             first = int((side == 0).sum())
             alone = first == len(side)
             left, right = np.arange(first), np.arange(first) if alone else np.arange(first, len(side))
-            i, j = tile_links(x[left], x[right], threshold)
-            i, j = left[i], right[j]
-            if alone:
-                i, j = i[i < j], j[i < j]
+            # Along the third component, tiles of which every pair is farther apart than the reach are passed over.
+            along = x[:, min(CELLS, x.shape[1] - 1)]
+            left, right = left[np.argsort(along[left], kind="stable")], right[np.argsort(along[right], kind="stable")]
+            found = []
+            for a in range(0, len(left), TILE):
+                for b in range(0, len(right), TILE):
+                    p, q = left[a : a + TILE], right[b : b + TILE]
+                    if alone and b < a or along[q[0]] - along[p[-1]] > reach or along[p[0]] - along[q[-1]] > reach:
+                        continue
+                    i, j = tile_links(x[p], x[q], threshold)
+                    i, j = p[i], q[j]
+                    found.append((i[i < j], j[i < j]) if alone and a == b else (i, j))
+            i, j = (np.concatenate([np.zeros(0, np.int64), *f]) for f in zip(*found)) if found else (np.zeros(0, np.int64),) * 2
             if not len(i):
                 return None
             cosine = np.empty(len(i))
-            for k in range(0, len(i), 1 << 16):
+            for k in range(0, len(i), 1 << 16):  # the exact cosine of each pair
                 cosine[k : k + (1 << 16)] = np.einsum("ij,ij->i", exact[i[k : k + (1 << 16)]], exact[j[k : k + (1 << 16)]])
             i, j = i[cosine >= threshold], j[cosine >= threshold]
             links = np.bincount(i, n[j], len(rep)) + np.bincount(j, n[i], len(rep))
