@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
+import uuid
+
 from pyspark.sql import SparkSession
 
 #: Times are UTC, errors are raised (ANSI), and plans adapt at run time.
@@ -22,3 +27,25 @@ def session(name: str = "tidemark", master: str | None = None, **settings: str)
     for k, v in {**SETTINGS, **settings}.items():
         builder = builder.config(k, v)
     return builder.getOrCreate()
+
+
+def scratch(spark: SparkSession, kind: str) -> str:
+    """A new path below the folder that driver and executors share (``spark.checkpoint.dir``), removed when the driver ends.
+
+    A local session without such a folder gets a temporary one; any other is refused, as a folder of one machine would be lost with it.
+    """
+    context = spark.sparkContext
+    root = context.getConf().get("spark.checkpoint.dir")
+    if not root and context._jsc.sc().getCheckpointDir().isDefined():
+        root = context._jsc.sc().getCheckpointDir().get()
+    if not root:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        folder = tempfile.mkdtemp(prefix="tidemark-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        root = f"file://{folder}"
+        context.setCheckpointDir(root)
+    path = context._jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/{kind}-{uuid.uuid4().hex}")
+    fs = path.getFileSystem(context._jsc.hadoopConfiguration())
+    fs.deleteOnExit(path)
+    return fs.makeQualified(path).toString()
