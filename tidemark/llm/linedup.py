@@ -22,7 +22,7 @@ LONG = 50_000
 PAIRS, GATHERED = 1_000_000, 500_000
 #: Candidates that a line gets from each list, and in all, in the first round. Lines of which none matches though there were more get MORE times
 #: as many in the next, and so on until there are no more, so the result does not depend on it, and every round's candidates are bounded.
-FIRST, MORE = 8, 1024
+FIRST, MORE = 8, 64
 #: Lines (or texts) of so many at most are told from others by a bitmap of MARKS bits that is sent to the scan of the texts; more are joined to the texts.
 MARKED, MARKS = 1 << 21, 1 << 25
 #: The numbers of so many documents at most (eight bytes each) are broadcast besides, so that other texts are not handed to Python.
@@ -284,6 +284,8 @@ def _candidates(sets: DataFrame, rule: Rule, lengths, limit: int, parts: int, on
                     found.append(best(a[keep], b[keep], apart[keep], np.zeros(int(keep.sum()), bool)))
                     if sum(len(f[0]) for f in found) > PAIRS:
                         found = [best(*(np.concatenate(x) for x in zip(*found)))]
+                        if len(found[0][0]) > PAIRS // 2:  # a great limit lets few go; what is handed on early is ranked with all others later
+                            yield out(*found.pop())
             start = stop
         if found:
             yield out(*best(*(np.concatenate(x) for x in zip(*found))))

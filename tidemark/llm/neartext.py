@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tidemark.llm import graph, linedup, shared, simhash, words
 
 #: Candidates that a text gets from each posting list in the join's first round; each further one takes MORE times as many, between texts not yet in one group.
-FIRST, MORE = 8, 1024
+FIRST, MORE = 8, 64
 
 _U = np.uint64
 
