@@ -76,7 +76,7 @@ def record_batch(rows: list[tuple[str, int, bytes]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows]), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.binary())], ["kind", "shard", "data"])
 
 
-def in_rows(rows: Iterator[tuple[str, int, bytes]], size: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def in_rows(rows: Iterator[tuple[str, int, bytes]], size: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     held, total = [], 0
     for r in rows:
         held.append(r)

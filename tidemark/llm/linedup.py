@@ -19,7 +19,9 @@ BUCKETS, SLICE = 1 << 22, 1 << 16
 #: A posting list that may be longer than this is cut into chunks that are joined pair by pair.
 LONG = 50_000
 #: Pairs that are compared at once, and postings that a worker gathers before it deals them.
-PAIRS, GATHERED = 1_000_000, 500_000
+PAIRS, GATHERED = 400_000, 250_000
+#: Candidates that a worker hands on in one batch.
+HANDED = 50_000
 #: Candidates that a line gets from each list, and in all, in the first round. Lines of which none matches though there were more get MORE times
 #: as many in the next, and so on until there are no more, so the result does not depend on it, and every round's candidates are bounded.
 FIRST, MORE = 8, 64
@@ -259,9 +261,10 @@ def _candidates(sets: DataFrame, rule: Rule, lengths, limit: int, parts: int, on
         edges = np.concatenate([[0], np.cumsum(count)])
         found: list[list[np.ndarray]] = []
 
-        def out(a: np.ndarray, b: np.ndarray, apart: np.ndarray, more: np.ndarray) -> pa.RecordBatch:
+        def out(a: np.ndarray, b: np.ndarray, apart: np.ndarray, more: np.ndarray) -> Iterator[pa.RecordBatch]:
             sides = [pa.array(c) for x in (a, b) for c in (doc[x], line[x].astype(np.int32), s1[x].view(np.int64))]
-            return pa.RecordBatch.from_arrays([*sides, pa.array(apart.astype(np.int32)), pa.array(more)], ["doc", "line", "s1", "doc0", "line0", "s10", "apart", "more"])
+            whole = pa.RecordBatch.from_arrays([*sides, pa.array(apart.astype(np.int32)), pa.array(more)], ["doc", "line", "s1", "doc0", "line0", "s10", "apart", "more"])
+            yield from (whole.slice(k, HANDED) for k in range(0, whole.num_rows, HANDED))
 
         start = 0
         while start < len(n):
@@ -285,10 +288,10 @@ def _candidates(sets: DataFrame, rule: Rule, lengths, limit: int, parts: int, on
                     if sum(len(f[0]) for f in found) > PAIRS:
                         found = [best(*(np.concatenate(x) for x in zip(*found)))]
                         if len(found[0][0]) > PAIRS // 2:  # a great limit lets few go; what is handed on early is ranked with all others later
-                            yield out(*found.pop())
+                            yield from out(*found.pop())
             start = stop
         if found:
-            yield out(*best(*(np.concatenate(x) for x in zip(*found))))
+            yield from out(*best(*(np.concatenate(x) for x in zip(*found))))
 
     def best(a: np.ndarray, b: np.ndarray, apart: np.ndarray, more: np.ndarray) -> list[np.ndarray]:
         """The closest ``limit`` candidates of each posting; ``more`` where there were others."""

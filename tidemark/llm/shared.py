@@ -14,7 +14,7 @@ from urllib.parse import urlparse
 from pyspark.sql import DataFrame, SparkSession
 
 #: Rows and bytes of an Arrow batch at most: whole texts are handed to Python, so 10,000 rows would be too many.
-BATCH_ROWS, BATCH_BYTES = 512, 16 << 20
+BATCH_ROWS, BATCH_BYTES = 512, 4 << 20
 
 
 def checkpoint_root(spark: SparkSession) -> str:

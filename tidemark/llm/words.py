@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tidemark.llm import shared
+from tidemark.llm import lean, shared  # noqa: F401  (lean settles the workers' memory)
 
 def decoded(text: bytes | None) -> str:
     """A text as a string: empty for null; bytes that are no UTF-8 are replaced."""
