@@ -6,6 +6,8 @@ import pytest
 from moments import T0
 from pyspark.sql import functions as F
 
+from tidemark import model
+from tidemark.api import QueryApi
 from tidemark.functions import ranges
 from tidemark.plans.lower import Planner
 from tidemark.plans.syntax import QueryError
@@ -142,3 +144,16 @@ def test_names_and_times_reach_the_scan(spark, make, tmp_path):
     df = Planner(spark.read.parquet(str(tmp_path / "s")), T0, T0 + S, S).query("sum by (a) (m)")
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "EqualTo(name,m)" in plan and "GreaterThanOrEqual(ts" in plan and "type" not in plan.split("ReadSchema")[-1]
+
+
+@pytest.fixture
+def million(spark):
+    """The query interface as it is by default, over one sample more than a million, at two times."""
+    n = F.col("id")
+    rows = spark.range(1_000_001).select(F.lit("m").alias("name"), n.cast("double").alias("value"), F.create_map(F.lit("x"), F.lit("1")).alias("labels"), F.timestamp_seconds(F.lit(int(T0.timestamp())) + n % 2).alias("ts"))
+    return QueryApi(model.samples(rows))
+
+
+def test_execute_reads_more_than_a_million_samples(million):
+    rows = million.execute("count by (x) (m)", T0, T0 + 4 * S).collect()
+    assert [(r["metric"], [p["v"] for p in r["values"]]) for r in rows] == [({"x": "1"}, ["500001.000000", "500000.000000"])]

@@ -17,7 +17,6 @@ from tidemark.sources.store import SampleStore, matching
 
 #: Range and step of a query that gives none, and how far an instant query looks back.
 QUERY_RANGE, STEP, LOOKBACK = timedelta(hours=1), timedelta(seconds=15), timedelta(minutes=5)
-MAX_QUERY_SAMPLES = 1_000_000
 
 _STEP = re.compile(r"(\d+(?:\.\d+)?)(ns|us|µs|ms|s|m|h)")
 _SECONDS = {"ns": 1e-9, "us": 1e-6, "µs": 1e-6, "ms": 1e-3, "s": 1, "m": 60, "h": 3600}
@@ -52,9 +51,12 @@ def moment(text: str | None, default: datetime, unix: bool = False) -> datetime:
 
 
 class QueryApi:
-    """Queries over a DataFrame of samples. ``clock`` gives the time."""
+    """Queries over a DataFrame of samples. ``clock`` gives the time.
 
-    def __init__(self, samples: DataFrame, clock=lambda: datetime.now(timezone.utc), mode: str = "compat", resolution: str = model.RAW, max_samples: int | None = MAX_QUERY_SAMPLES):
+    A query reads all samples, as no process holds them together; ``max_samples``, if given, refuses those that would read more.
+    """
+
+    def __init__(self, samples: DataFrame, clock=lambda: datetime.now(timezone.utc), mode: str = "compat", resolution: str = model.RAW, max_samples: int | None = None):
         self.samples, self.clock, self.mode, self.resolution, self.max_samples = samples, clock, mode, resolution, max_samples
 
     def _planner(self, start: datetime, end: datetime, step: timedelta) -> Planner:
