@@ -157,3 +157,8 @@ def million(spark):
 def test_execute_reads_more_than_a_million_samples(million):
     rows = million.execute("count by (x) (m)", T0, T0 + 4 * S).collect()
     assert [(r["metric"], [p["v"] for p in r["values"]]) for r in rows] == [({"x": "1"}, ["500001.000000", "500000.000000"])]
+
+
+def test_query_range_reads_more_than_a_million_samples(million):
+    rows = million.query_range("sum by (x) (m)", str(T0.timestamp()), (T0 + S).isoformat(), "1s").collect()
+    assert [[p["v"] for p in r["values"]] for r in rows] == [["250000500000.000000", "250000000000.000000"]]
