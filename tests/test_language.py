@@ -162,3 +162,7 @@ def test_execute_reads_more_than_a_million_samples(million):
 def test_query_range_reads_more_than_a_million_samples(million):
     rows = million.query_range("sum by (x) (m)", str(T0.timestamp()), (T0 + S).isoformat(), "1s").collect()
     assert [[p["v"] for p in r["values"]] for r in rows] == [["250000500000.000000", "250000000000.000000"]]
+
+
+def test_points_of_more_than_a_million_samples_are_counted(million):
+    assert million.total_points("m", T0, T0 + S) == 1_000_001
