@@ -157,7 +157,7 @@ class StoreApi:
         names = [metric] if metric else None
         if kind == "csv":
             return exchange.export_csv(self.store.samples(start, end), path, start, end, names)
-        return exchange.export_json(self.store.samples(start, end), path, start, end, self.clock(), names)
+        return exchange.export_json(self.store.samples(start, end, apart=True), path, start, end, self.clock(), names)
 
     def import_(self, path: str, content_type: str = "application/json", lines: bool = False) -> dict:
         if content_type != "application/json":

@@ -12,6 +12,8 @@ MAX_NAME, MAX_LABELS, MAX_KEY, MAX_VALUE = 256, 20, 256, 1024
 KINDS = ("counter", "gauge", "histogram")
 #: Resolutions of stored samples: raw, and two of rollups.
 RAW, FIVE_MINUTES, ONE_HOUR = "", "5m", "1h"
+#: Internal label that tells samples of one series and time apart, such as the number of an event. It is a part of a sample's key, not of its series.
+SAMPLE = "__sample__"
 
 AGGREGATE = T.StructType([T.StructField("sum", T.DoubleType()), T.StructField("count", T.LongType()), T.StructField("min", T.DoubleType()), T.StructField("max", T.DoubleType())])
 SAMPLES = T.StructType(
@@ -59,6 +61,12 @@ def user_labels(labels: str | Column = "labels") -> Column:
     return F.map_filter(given, lambda k, v: ~k.startswith("_"))
 
 
+def series_labels(labels: str | Column = "labels") -> Column:
+    """The labels of the series, without :data:`SAMPLE`."""
+    given = F.col(labels) if isinstance(labels, str) else labels
+    return F.map_filter(given, lambda k, v: k != SAMPLE)
+
+
 def label_equals(key: str, value: str) -> Column:
     """Equality of a label: null labels never match, and a label that is missing equals the empty string."""
     return F.col("labels").isNotNull() & (F.coalesce(label(key), F.lit("")) == F.lit(value))

@@ -47,7 +47,7 @@ def _window(rows: DataFrame, start, end) -> DataFrame:
 def five_minutes(samples: DataFrame, start: datetime | None = None, end: datetime | None = None) -> DataFrame:
     """Sum, count, least and greatest raw value of each series and 5-minute bucket; the row's value is the mean, its type a gauge."""
     raw = _window(samples.where(F.col("resolution") == RAW), start, end)
-    return _rolled(raw, FIVE_MINUTES, model.series_key(), F.sum("value"), F.count(F.lit(1)), F.min("value"), F.max("value"))
+    return _rolled(raw, FIVE_MINUTES, model.series_key(model.series_labels()), F.sum("value"), F.count(F.lit(1)), F.min("value"), F.max("value"))
 
 
 def one_hour(samples: DataFrame, start: datetime | None = None, end: datetime | None = None) -> DataFrame:
