@@ -31,6 +31,6 @@ def agrees(spark, folder, name):
     return rows == expected and sum(rows.values()) > 0
 
 
-@pytest.mark.parametrize("name", ["store_compaction", "store_delete", "store_upsert", "streamed_late"])
+@pytest.mark.parametrize("name", ["store_compaction", "store_delete", "store_upsert", "streamed_late", "streamed_rollup"])
 def test_queries(spark, ties, name):
     assert agrees(spark, ties, name)

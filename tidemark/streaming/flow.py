@@ -48,11 +48,11 @@ def valid_samples(stream: DataFrame, now=None) -> DataFrame:
 
 
 def rolled_up(samples: DataFrame, late: str = LATE, deduplicate: bool = True) -> DataFrame:
-    """5-minute rollups of a stream; in append mode a bucket comes out once it can't change. Repeated samples count once."""
+    """5-minute rollups of a stream; in append mode a bucket comes out once it can't change. Repeated samples count once; those that differ in ``model.SAMPLE`` are no repeats."""
     rows = samples.withWatermark("ts", late).withColumn("_key", model.series_key())
     if deduplicate:
         rows = rows.dropDuplicatesWithinWatermark(["name", "_key", "ts"])
-    grouped = rows.groupBy("name", "_key", F.window("ts", "5 minutes").alias("w")).agg(F.sum("value").alias("sum"), F.count(F.lit(1)).alias("count"), F.min("value").alias("min"), F.max("value").alias("max"))
+    grouped = rows.withColumn("_key", model.series_key(model.series_labels())).groupBy("name", "_key", F.window("ts", "5 minutes").alias("w")).agg(F.sum("value").alias("sum"), F.count(F.lit(1)).alias("count"), F.min("value").alias("min"), F.max("value").alias("max"))
     return grouped.select(
         "name",
         F.lit("gauge").alias("type"),
