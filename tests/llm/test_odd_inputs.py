@@ -178,3 +178,15 @@ def test_stages_keep_columns_of_any_name(spark, folders, tmp_path):
         out.write.parquet(str(tmp_path / str(k)))
         docs = spark.read.parquet(str(tmp_path / str(k)))
     assert docs.count() > 0
+
+
+@pytest.mark.parametrize("size", ["10MB", "-1"])
+def test_rules_count_every_trusted_row(spark, size):
+    docs = spark.range(6000).select(F.col("id").alias("doc_id"), F.concat_ws(" ", F.lit("a"), F.col("id").cast("string")).alias("text"))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", size)  # with the identifiers broadcast, and joined by a shuffle
+    try:
+        same = rules.ratios(docs, docs.select("doc_id"))
+        assert same.where("ratio <> 0").count() == 0 and same.count() == 1 << rules.BITS  # target and corpus are the same rows
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)

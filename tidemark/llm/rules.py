@@ -11,15 +11,13 @@ from math import log
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm import ranks, shared
+from tidemark.llm import shared
 
 #: ASCII white space between words, and the characters that count as symbols.
 SPACE = r"[\x20\x09-\x0D]+"
 SYMBOLS = r"[#*$%&|<>]"
 #: Bits of an n-gram's bucket: the table has 2**BITS entries, whatever the corpus.
 BITS = 18
-#: Rows of the trusted target that are learned from, at most: the bound of the sample.
-TRUSTED = 4096
 #: Added to every bucket's count; and micro-nats, in which ratios are whole numbers and sums exact.
 SMOOTH, UNIT = 0.5, 1_000_000
 #: Words of a window that counts as repeated, least words, and the percentage of repeated words that fails a text.
@@ -46,14 +44,14 @@ def _hashed(docs: DataFrame, text: str, *own: Column) -> DataFrame:
     return split.select("*", F.transform("_words", lambda w: F.xxhash64(w)).alias("_h"))
 
 
-def ratios(docs: DataFrame, trusted: DataFrame, ident: str = "doc_id", text: str = "text", sample: int = TRUSTED) -> DataFrame:
+def ratios(docs: DataFrame, trusted: DataFrame, ident: str = "doc_id", text: str = "text") -> DataFrame:
     """``bucket`` and ``ratio``, the log of its share in the target over its share in the corpus, in micro-nats; 2**BITS rows.
 
-    The corpus is every row of ``docs``. The target are the rows whose ``ident`` is in ``trusted``, of which the ``sample`` that come first
-    by a hash are taken: so few can be broadcast, and the texts are met in one scan.
+    The corpus is every row of ``docs``, the target every row whose ``ident`` is in ``trusted``. The texts are met in one scan; they stay where they are
+    while the identifiers are few enough for Spark to broadcast, and are shuffled once beyond that.
     """
-    chosen = trusted.where(F.col(ident).isNotNull()).select(ident).distinct().orderBy(ranks.seeded_key("trusted", ident)).limit(sample)
-    marked = docs.join(F.broadcast(chosen.withColumn("_target", F.lit(1))), ident, "left")
+    chosen = trusted.where(F.col(ident).isNotNull()).select(ident).distinct()
+    marked = docs.select(ident, text).join(chosen.withColumn("_target", F.lit(1)), ident, "left")
     grams = _hashed(marked, text, F.coalesce("_target", F.lit(0)).alias("_target")).select("_target", F.explode(_gram_buckets("_h")).alias("bucket"))
     counts = shared.cut(grams.groupBy("bucket").agg(F.count(F.lit(1)).alias("raw"), F.sum("_target").alias("target")))
     whole = docs.sparkSession.range(1 << BITS).withColumnRenamed("id", "bucket").join(counts, "bucket", "left").na.fill(0, ["raw", "target"])
