@@ -180,6 +180,16 @@ def test_stages_keep_columns_of_any_name(spark, folders, tmp_path):
     assert docs.count() > 0
 
 
+@pytest.mark.parametrize("sent", [rules.SENT, 0])
+@pytest.mark.parametrize("kind", ["bigint", "string"])
+def test_rules_take_exactly_the_trusted_rows(spark, monkeypatch, sent, kind):
+    monkeypatch.setattr(rules, "SENT", sent)
+    docs = spark.range(-300, 300).select(F.col("id").cast(kind).alias("doc_id"), F.lit("a").alias("text"), (F.col("id") % 7 == 0).alias("wanted"))
+    trusted = docs.where("wanted").select("doc_id").union(spark.createDataFrame([(None,), (None,)], f"doc_id {kind}"))
+    found = rules._marked(docs.union(docs.limit(1).withColumn("doc_id", F.lit(None).cast(kind))), trusted, "doc_id", "text")
+    assert [found.count(), found.where("_target = 1").count()] == [601, docs.where("wanted").count()]
+
+
 @pytest.mark.parametrize("size", ["10MB", "-1"])
 def test_rules_count_every_trusted_row(spark, size):
     docs = spark.range(6000).select(F.col("id").alias("doc_id"), F.concat_ws(" ", F.lit("a"), F.col("id").cast("string")).alias("text"))

@@ -18,6 +18,8 @@ SPACE = r"[\x20\x09-\x0D]+"
 SYMBOLS = r"[#*$%&|<>]"
 #: Bits of an n-gram's bucket: the table has 2**BITS entries, whatever the corpus.
 BITS = 18
+#: Types of identifiers that are taken together, and rows of trusted identifiers that are broadcast at most.
+INTEGERS, SENT = {"tinyint", "smallint", "int", "bigint"}, 1 << 20
 #: Added to every bucket's count; and micro-nats, in which ratios are whole numbers and sums exact.
 SMOOTH, UNIT = 0.5, 1_000_000
 #: Words of a window that counts as repeated, least words, and the percentage of repeated words that fails a text.
@@ -44,15 +46,29 @@ def _hashed(docs: DataFrame, text: str, *own: Column) -> DataFrame:
     return split.select("*", F.transform("_words", lambda w: F.xxhash64(w)).alias("_h"))
 
 
+def _marked(docs: DataFrame, trusted: DataFrame, ident: str, text: str) -> DataFrame:
+    """The texts with ``_target``, 1 for those whose ``ident`` is in ``trusted``, else 0.
+
+    Whole numbers are taken together, those that differ in the last six bits as one row with a mask. Up to ``SENT`` rows are broadcast, and the texts stay where
+    they are; more are joined by a shuffle of the texts.
+    """
+    numbers = {dict(df.dtypes)[ident] for df in (docs, trusted)} <= INTEGERS
+    number = F.col(ident).cast("bigint")
+    place = F.shiftright(number, 6) if numbers else F.col(ident)
+    bit = number.bitwiseAND(63).cast("int") if numbers else F.lit(0)
+    one = F.call_function("shiftleft", F.lit(1).cast("bigint"), bit)
+    chosen = shared.cut(trusted.where(F.col(ident).isNotNull()).groupBy(place.alias("_place")).agg(F.bit_or(one).alias("_mask")))
+    held = F.broadcast(chosen) if chosen.count() <= SENT else chosen
+    joined = docs.select(F.col(text), place.alias("_place"), bit.alias("_bit")).join(held, "_place", "left")
+    return joined.select(text, F.coalesce(F.call_function("getbit", "_mask", "_bit").cast("int"), F.lit(0)).alias("_target"))
+
+
 def ratios(docs: DataFrame, trusted: DataFrame, ident: str = "doc_id", text: str = "text") -> DataFrame:
     """``bucket`` and ``ratio``, the log of its share in the target over its share in the corpus, in micro-nats; 2**BITS rows.
 
-    The corpus is every row of ``docs``, the target every row whose ``ident`` is in ``trusted``. The texts are met in one scan; they stay where they are
-    while the identifiers are few enough for Spark to broadcast, and are shuffled once beyond that.
+    The corpus is every row of ``docs``, the target every row whose ``ident`` is in ``trusted``. The texts are met in one scan.
     """
-    chosen = trusted.where(F.col(ident).isNotNull()).select(ident).distinct()
-    marked = docs.select(ident, text).join(chosen.withColumn("_target", F.lit(1)), ident, "left")
-    grams = _hashed(marked, text, F.coalesce("_target", F.lit(0)).alias("_target")).select("_target", F.explode(_gram_buckets("_h")).alias("bucket"))
+    grams = _hashed(_marked(docs, trusted, ident, text), text, F.col("_target")).select("_target", F.explode(_gram_buckets("_h")).alias("bucket"))
     counts = shared.cut(grams.groupBy("bucket").agg(F.count(F.lit(1)).alias("raw"), F.sum("_target").alias("target")))
     whole = docs.sparkSession.range(1 << BITS).withColumnRenamed("id", "bucket").join(counts, "bucket", "left").na.fill(0, ["raw", "target"])
     n = float(SMOOTH * (1 << BITS))
