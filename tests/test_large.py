@@ -17,3 +17,7 @@ def large(spark, tmp_path_factory):
 
 def test_prometheus_range(spark, large):
     assert agrees(spark, large, "prometheus_range")
+
+
+def test_result_count(spark, large):
+    assert agrees(spark, large, "result_count")
