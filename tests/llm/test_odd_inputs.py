@@ -1,9 +1,13 @@
 """Nulls, empty tables, odd texts, repeated rows, and extra columns of clashing names, for every operator and stage."""
 
+import gc
 import hashlib
+import sys
+from itertools import product
 
 import duckdb
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -61,6 +65,37 @@ def test_bpe(odd, none):
     assert bytes(back).decode() == odd.where("doc_id = 8").first()["text"]
 
 
+
+def test_bpe_leaves_little_in_a_worker(docs, monkeypatch):
+    """After a task over a great many different words, what the worker remembers is bounded; it waits beside the workers of later stages."""
+    rows, run = docs((1, "a", "en", "s")), []
+    monkeypatch.setattr(type(rows), "mapInArrow", lambda self, function, schema: run.append(function))
+    bpe.encoded_rows(rows.select("doc_id", "text"), PATH, PATTERN)
+    text = " ".join(map("".join, product("qzxjkvwbyfghmpd", repeat=5)))[: 6 * 300_000 - 1]
+    bpe._coders.clear()
+
+    def remembered():
+        seen, waiting, total = set(), [bpe._coders], 0
+        while waiting:
+            x = waiting.pop()
+            if id(x) not in seen and not isinstance(x, type):
+                seen.add(id(x))
+                total += sys.getsizeof(x)
+                waiting += [*gc.get_referents(x), *(x if isinstance(x, dict) else ())]
+        return total
+
+    def task(t):
+        (out,) = run[0](iter([pa.RecordBatch.from_arrays([pa.array([t.encode()]), pa.array([1])], ["_text", "doc_id"])]))
+        return out.to_pylist()[0]
+
+    assert task("a")["round_trip"]
+    before = remembered()
+    got = task(text)
+    assert got["round_trip"] and got["n_tokens"] > 300_000
+    assert remembered() - before < 30 << 20
+    assert task(text) == got  # what is forgotten is found again
+
+
 def test_language_model(odd, none):
     model = kneser_ney.train(odd, F.lit(True))
     got = kneser_ney.scored(odd, model).collect()

@@ -41,12 +41,48 @@ LONG = 256
 WINDOW, TOKENS = 2, 8192
 #: Bytes that are merged by looking through all pairs; more are merged by a heap.
 SCAN = 512
-#: Pieces whose tokens a worker remembers.
-REMEMBERED = 1 << 20
+#: Bytes of the first results that a memo keeps as long as its worker lives, and of later ones, which are forgotten at this size and when a task ends.
+FIRST, LATER = 24 << 20, 24 << 20
 
 _NONE = 1 << 60
 
 
+class Memo:
+    """Results that were found before. The first ones stay, which holds what is frequent; later ones are forgotten when they outgrow their bytes.
+
+    A worker outlives its task and waits beside those of other stages, so what it remembers counts against theirs.
+    """
+
+    def __init__(self, first: int = FIRST, later: int = LATER):
+        self._bytes = first, later
+        self.clear()
+
+    def get(self, key):
+        found = self.first.get(key)
+        return self.later.get(key) if found is None else found
+
+    def put(self, key, value, size: int) -> None:
+        """``size``: bytes of the key and the value; a place in the dictionary takes about 100 more."""
+        size += 100
+        if size <= self._room:
+            self._room -= size
+            self.first[key] = value
+            return
+        if self._held + size > self._most:
+            self.forget()
+        self._held += size
+        self.later[key] = value
+
+    def forget(self) -> None:
+        self.later.clear()
+        self._held = 0
+
+    def clear(self) -> None:
+        self.first: dict = {}
+        self.later: dict = {}
+        self._held, (self._room, self._most) = 0, self._bytes
+
+
 class Coder:
     """Encoding and decoding by the ranks of a vocabulary file."""
 
@@ -58,12 +94,15 @@ class Coder:
         self._one = [bytes([b]) for b in range(256)]
         self._two = [self._ranks.get(a + b, _NONE) for a in self._one for b in self._one]
         self._pattern = regex.compile(pattern)
-        self._pieces: dict[str, bytes | None] = {}
-        self._parts: dict[bytes, list[int]] = {}
-        self._neighbours: dict[tuple[int, int], bool] = {}
+        self._pieces, self._parts, self._neighbours = Memo(), Memo(FIRST // 4, LATER // 4), Memo(FIRST // 4, LATER // 4)
         self.names = [str(i) for i in range(len(self._bytes))]
         self.joins = 0
 
+    def forget(self) -> None:
+        """Leaves of the memos what stays from task to task."""
+        for memo in (self._pieces, self._parts, self._neighbours):
+            memo.forget()
+
     # Merging bytes
 
     def _merged(self, data: bytes) -> list[int]:
@@ -109,18 +148,16 @@ class Coder:
     def _remembered(self, data: bytes) -> list[int]:
         found = self._parts.get(data)
         if found is None:
-            if len(self._parts) >= REMEMBERED // 4:
-                self._parts.clear()
-            found = self._parts[data] = self._merged(data)
+            found = self._merged(data)
+            self._parts.put(data, found, 100 + len(data) + 40 * len(found))
         return found
 
     def _right_neighbours(self, a: int, b: int) -> bool:
         """Whether the bytes of two tokens by themselves become these two."""
         found = self._neighbours.get((a, b))
         if found is None:
-            if len(self._neighbours) >= REMEMBERED:
-                self._neighbours.clear()
-            found = self._neighbours[a, b] = self._merged(self._bytes[a] + self._bytes[b]) == [a, b]
+            found = self._merged(self._bytes[a] + self._bytes[b]) == [a, b]
+            self._neighbours.put((a, b), found, 120)
         return found
 
     def _seam(self, left: list[int], right: list[int]) -> list[int]:
@@ -152,16 +189,14 @@ class Coder:
             data = piece.encode()
             whole = self._ranks.get(data)
             found = array("I", [whole] if whole is not None else self._merged(data) if len(piece) <= SHORT else self._tree(piece)).tobytes()
-            if len(self._pieces) >= REMEMBERED:
-                self._pieces.clear()
-            self._pieces[piece] = found
+            self._pieces.put(piece, found, 80 + 4 * len(piece) + len(found))
         return found
 
     def _element(self, text: str, low: int, high: int) -> tuple[list[str], list[bytes | None]]:
         """The pieces of text[low:high], and their tokens."""
         if high - low <= LEAF:
             pieces = self._pattern.findall(text, low, high)
-            ids = list(map(self._pieces.get, pieces))
+            ids = list(map(self._pieces.first.get, pieces))
             if None in ids:
                 ids = [self._piece(p) if x is None else x for x, p in zip(ids, pieces)]
             return pieces, ids
@@ -224,6 +259,12 @@ def coder(ranks_file: bytes, pattern: str) -> Coder:
     return _coders[key]
 
 
+def forget() -> None:
+    """At a task's end: the worker's coder keeps little."""
+    for own in _coders.values():
+        own.forget()
+
+
 def _lists(rows: list[np.ndarray]) -> pa.Array:
     offsets = np.cumsum([0, *map(len, rows)]).astype(np.int32)
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.zeros(0, np.uint32), *rows]).astype(np.int32)))
@@ -240,7 +281,7 @@ def _mapped(docs: DataFrame, path: str, pattern: str, ident: str, text: str, kin
 
     names = [ident, *(k.split()[0] for k in kinds.split(", "))]
     given = F.col(text).cast("binary") if dict(docs.dtypes)[text] == "string" else F.col(text)
-    return words.map_batches(docs.select(ident, given.alias("_given")), run, f"`{ident}` {dict(docs.dtypes)[ident]}, {kinds}")
+    return words.map_batches(docs.select(ident, given.alias("_given")), run, f"`{ident}` {dict(docs.dtypes)[ident]}, {kinds}", forget)
 
 
 def encoded(docs: DataFrame, path: str, pattern: str, ident: str = "doc_id", text: str = "text") -> DataFrame:
@@ -293,4 +334,4 @@ def encoded_rows(docs: DataFrame, path: str, pattern: str, text: str = "text") -
         same = [own.decode(i.tolist()) == t.encode() for i, t in zip(ids, texts)]
         return pa.RecordBatch.from_arrays([*batch.columns[1:], _lists(ids), pa.array([len(i) for i in ids], pa.int64()), pa.array(same)], [*keep, "ids", "n_tokens", "round_trip"])
 
-    return words.map_batches(docs.select(F.col(text).cast("binary").alias(shared.fresh(keep, "_text")), *keep), run, ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), "ids array<int>", "n_tokens bigint", "round_trip boolean"]))
+    return words.map_batches(docs.select(F.col(text).cast("binary").alias(shared.fresh(keep, "_text")), *keep), run, ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), "ids array<int>", "n_tokens bigint", "round_trip boolean"]), forget)

@@ -79,14 +79,18 @@ def text_words(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
     return token, np.diff(np.searchsorted(start, edges))
 
 
-def map_batches(df: DataFrame, function: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
-    """``function`` over the Arrow batches of ``df``."""
+def map_batches(df: DataFrame, function: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str, after: Callable[[], None] | None = None) -> DataFrame:
+    """``function`` over the Arrow batches of ``df``; ``after`` is called when a task ends, however it does."""
     shared.ready_workers(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows and (out := function(batch)) is not None:
-                yield out
+        try:
+            for batch in batches:
+                if batch.num_rows and (out := function(batch)) is not None:
+                    yield out
+        finally:
+            if after is not None:
+                after()
 
     return df.mapInArrow(run, schema)
 
